@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hybridrank.llm.components import counted_links, star_components
+from hybridrank.llm.lookalike import lookalike_pairs, unify
+from hybridrank.llm.neighbours import nearest
 from hybridrank.runtime import table
 
 QUERIES, ORACLES = {}, {}
 
+ENTRY_TEXTS = {"chengyu": "headword", "traditional": "headword", "pinyin": "pinyin"}
+
 
 def query(sql: str | None = None):
     def add(f):
@@ -34,3 +39,34 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headwords and the head of their group, by links of relation ``same``."""
     links = counted_links(table(spark, sf_dir, "variant_families"))
     return star_components(links, "a", "b").selectExpr("head AS group_head", "member AS headword")
+
+
+@query(
+    """
+WITH good AS (
+  SELECT ids, any_value(vectors::DOUBLE[]) AS v FROM embedding_artifact
+  WHERE len(vectors) = 64 AND ids IS NOT NULL AND list_bool_and(list_transform(vectors, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(vectors, lambda x: x <> 0)) GROUP BY ids),
+ranked AS (
+  SELECT a.ids AS a, b.ids AS b, row_number() OVER (PARTITION BY a.ids ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.ids) AS n
+  FROM good a JOIN good b ON a.ids <> b.ids)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM ranked WHERE n <= 5
+"""
+)
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of which either is among the five nearest to the other."""
+    near = nearest(table(spark, sf_dir, "embedding_artifact"), "ids", "vectors", k=5, dims=64)
+    return near.select(F.least("key", "neighbour").alias("id_a"), F.greatest("key", "neighbour").alias("id_b")).distinct()
+
+
+@query()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of entries that look alike and are typed differently."""
+    pairs = lookalike_pairs(table(spark, sf_dir, "chengyu_entry"), "pos", ENTRY_TEXTS)
+    return pairs.select(F.col("a").alias("pos_a"), F.col("b").alias("pos_b"))
+
+
+@query()
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry with the consistent form of its headwords and pinyin."""
+    return unify(table(spark, sf_dir, "chengyu_entry").select("pos", *ENTRY_TEXTS), ENTRY_TEXTS).select("pos", *[c + "_form" for c in ENTRY_TEXTS])
