@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hybridrank.llm.components import counted_links, star_components
 from hybridrank.llm.lookalike import lookalike_pairs, unify
+from hybridrank.llm.mojibake import restore_texts
 from hybridrank.llm.neighbours import nearest
 from hybridrank.runtime import table
 
@@ -70,3 +71,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry with the consistent form of its headwords and pinyin."""
     return unify(table(spark, sf_dir, "chengyu_entry").select("pos", *ENTRY_TEXTS), ENTRY_TEXTS).select("pos", *[c + "_form" for c in ENTRY_TEXTS])
+
+
+@query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a garbled stretch."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return restore_texts(docs).where("repair.garbled").select("doc_id").distinct()
+
+
+@query()
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents with their text as far as it can be recovered."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return restore_texts(docs).where("repair.garbled").select("doc_id", F.col("repair.text").alias("restored_text"), F.col("repair.chain").alias("chain"))
