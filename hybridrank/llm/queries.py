@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from hybridrank.llm.components import counted_links, star_components
 from hybridrank.llm.lookalike import lookalike_pairs, unify
+from hybridrank.llm.mixing import mix, shares
 from hybridrank.llm.mojibake import restore_texts
 from hybridrank.llm.neighbours import nearest
-from hybridrank.runtime import table
+from hybridrank.llm.packing import pack
+from hybridrank.llm.tokens import token_count
+from hybridrank.runtime import Scratch, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -85,3 +88,41 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Garbled documents with their text as far as it can be recovered."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return restore_texts(docs).where("repair.garbled").select("doc_id", F.col("repair.text").alias("restored_text"), F.col("repair.chain").alias("chain"))
+
+
+def _sizes(spark: SparkSession, sf_dir: str, tag: str) -> DataFrame:
+    """The documents with their size in tokens, counted once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"))
+    return Scratch(spark, tag).keep(docs, "sizes")
+
+
+@query()
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text, or piece of a text, for every capacity."""
+    sizes = _sizes(spark, sf_dir, "sizes")
+    kinds = table(spark, sf_dir, "pack_capacity").distinct().orderBy("capacity_tokens", "container_kind").collect()
+    out = None
+    for k in kinds:
+        one = pack(sizes, "doc_id", "n_tokens", k["capacity_tokens"]).withColumn("container_kind", F.lit(k["container_kind"])).withColumn("capacity_tokens", F.lit(k["capacity_tokens"]))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumnRenamed("key", "doc_id")
+
+
+@query()
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of every capacity are."""
+    packed = p6_packed(spark, sf_dir).where("container is not null")
+    each = packed.groupBy("container_kind", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("used"))
+    return each.groupBy("container_kind", "capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.avg(F.col("used") / F.col("capacity_tokens")).alias("fill"))
+
+
+@query()
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return mix(_sizes(spark, sf_dir, "sizes"), "source", "n_tokens", table(spark, sf_dir, "mix_target")).select("doc_id", "source", "n_tokens", "times")
+
+
+@query()
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the mix reached."""
+    return shares(p7_mixed(spark, sf_dir), "source", "n_tokens", table(spark, sf_dir, "mix_target"))
