@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from hybridrank.functions.query import ROUTE_STOPWORDS, focused, listed, preferred_mode
 from hybridrank.functions.text import content_tokens, frequencies, has_unified_han, ngrams, plain_pinyin, route_text, words
-from hybridrank.runtime import small_side
+from hybridrank.runtime import Scratch, small_side
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ def asked(queries: DataFrame, query: str = "query") -> DataFrame:
 
 @dataclass
 class TokenIndex:
-    """Everything that scoring by tokens needs of a corpus, as lazy tables."""
+    """Everything that scoring by tokens needs of a corpus: tables written once, since many joins read them."""
 
     corpus: DataFrame
     feats: DataFrame = field(init=False)
@@ -86,10 +86,11 @@ class TokenIndex:
     documents: int = field(init=False)
 
     def __post_init__(self) -> None:
-        self.feats = features(self.corpus)
-        self.post = postings(self.feats)
-        self.documents = self.corpus.count()
-        self.idf = idf_table(self.post, self.documents)
+        scratch = Scratch(self.corpus.sparkSession, "tokens")
+        self.feats = scratch.keep(features(self.corpus), "features", documents=F.count(F.lit(1)))
+        self.documents = scratch.facts["documents"]
+        self.post = scratch.keep(postings(self.feats), "postings")
+        self.idf = scratch.keep(idf_table(self.post, self.documents), "idf")
 
 
 def token_scores(index: TokenIndex, q: DataFrame, w: TokenWeights = TokenWeights()) -> DataFrame:
