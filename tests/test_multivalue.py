@@ -12,7 +12,7 @@ CASES = {
     "①a ②b": ["a", "b"],
     "- a\n- b-c": ["a", "b-c"],
     "* a\n* b": ["a", "b"],
-    "a\; b; c": ["a; b", "c"],
+    "a\\; b; c": ["a; b", "c"],
     "a • b": ["a", "b"],
     "x<br>y": ["x", "y"],
     "a||b|c": ["a", "b", "c"],
