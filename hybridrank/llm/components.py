@@ -109,4 +109,4 @@ def counted_links(links: DataFrame, relation: str = "same") -> DataFrame:
     ``relation``, with both ends trimmed; null or blank ends do not count."""
     end = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     kind: Column = F.lower(F.trim(F.col("relation")))
-    return links.where(kind == relation).select(end("a").alias("a"), end("b").alias("b"))
+    return links.where(kind == relation).select(end("a").alias("a"), end("b").alias("b")).where("a is not null and b is not null")
