@@ -153,3 +153,90 @@ def character_map(dictionary: DataFrame) -> DataFrame:
     pairs = dictionary.where("length(traditional) = length(simplified)").select("entry_no", F.posexplode(F.arrays_zip(F.split("traditional", "").alias("t"), F.split("simplified", "").alias("s"))).alias("i", "c"))
     votes = pairs.where("c.t <> ''").groupBy(F.col("c.t").alias("traditional"), F.col("c.s").alias("simplified")).agg(F.count(F.lit(1)).alias("votes"), F.min(F.struct("entry_no", "i")).alias("seen"))
     return votes.groupBy("traditional").agg(F.min_by(F.struct("simplified", "votes"), F.struct((-F.col("votes")).alias("v"), "seen")).alias("b")).select("traditional", "b.simplified", "b.votes")
+
+
+class Converter:
+    """Rewrites text into one script with dictionaries that are given.
+
+    ``words`` are words to cut by, ``kept`` spellings that stay or have a
+    conversion of their own, ``phrases`` longest-match rules, ``characters``
+    the fallback.  The text is rewritten until nothing changes; rules that run
+    in a circle raise an error.
+    """
+
+    def __init__(self, words: set[str], kept: dict[str, str], phrases: dict[str, str], characters: dict[str, str], rounds: int = 8):
+        self.words, self.kept, self.phrases, self.characters, self.rounds = words, kept, phrases, characters, rounds
+        self.longest = max(map(len, [*words, *kept, ""]), default=1)
+        self.longest_phrase = max(map(len, phrases), default=0)
+
+    def cut(self, text: str) -> list[str]:
+        """The fewest pieces; of equal cuts, the one with the longer last piece."""
+        n = len(text)
+        best = [(0, 0)] + [(n + 1, 0)] * n
+        for i in range(1, n + 1):
+            for j in range(max(0, i - self.longest), i):
+                piece = text[j:i]
+                if (i - j == 1 or piece in self.words or piece in self.kept) and best[j][0] + 1 < best[i][0]:
+                    best[i] = (best[j][0] + 1, j)
+        out, i = [], n
+        while i:
+            out.append(text[best[i][1] : i])
+            i = best[i][1]
+        return out[::-1]
+
+    def once(self, text: str) -> str:
+        out = []
+        for piece in self.cut(text):
+            if piece in self.kept:
+                out.append(self.kept[piece])
+                continue
+            i = 0
+            while i < len(piece):
+                for n in range(min(self.longest_phrase, len(piece) - i), 0, -1):
+                    if piece[i : i + n] in self.phrases:
+                        out.append(self.phrases[piece[i : i + n]])
+                        i += n
+                        break
+                else:
+                    out.append(self.characters.get(piece[i], piece[i]))
+                    i += 1
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        seen = set()
+        while text not in seen:
+            seen.add(text)
+            new = self.once(text)
+            if new == text:
+                return text
+            if len(seen) > self.rounds:
+                break
+            text = new
+        raise ValueError("the conversion rules run in a circle")
+
+
+def converted(df: DataFrame, column: str, converter: Converter) -> DataFrame:
+    """``df`` with ``column`` in one script; null stays null."""
+    # Broadcasts hold plain data only; workers may have no copy of this package.
+    held = df.sparkSession.sparkContext.broadcast((converter.words, converter.kept, converter.phrases, converter.characters, converter.rounds))
+
+    @F.pandas_udf("string")
+    def convert(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Converter(*held.value)
+        for s in batches:
+            yield s.map(own, na_action="ignore")
+
+    return df.withColumn(column, convert(F.col(column)))
+
+
+def headword_aliases(corpus: DataFrame) -> DataFrame:
+    """``(alias, headword)``: forms that name exactly one headword."""
+    forms = corpus.select(F.coalesce(F.nullif(F.trim("simplified"), F.lit("")), F.col("chengyu")).alias("headword"), F.explode(F.array_compact(F.array("chengyu", "simplified", "traditional"))).alias("alias"))
+    return forms.where("alias <> ''").groupBy("alias").agg(F.min("headword").alias("headword"), F.max("headword").alias("other")).where("headword = other").select("alias", "headword")
+
+
+def han_normalized(queries: DataFrame, aliases: DataFrame, converter: Converter) -> DataFrame:
+    """``(query, normalized)`` of Han queries: the headword an alias names, else the converted text."""
+    q = queries.select("query").distinct().where(F.col("query").rlike("[\\u4e00-\\u9fff]")).withColumn("normalized", F.trim("query"))
+    q = q.join(aliases, F.col("normalized") == F.col("alias"), "left").drop("alias")
+    return converted(q, "normalized", converter).select("query", F.coalesce("headword", "normalized").alias("normalized"))

@@ -148,3 +148,20 @@ def test_migration(spark):
     saved = spark.createDataFrame([(1, "old1"), (2, "new"), (3, "new"), (4, "old2"), (5, "old3")], "n long, id string")
     alias = spark.createDataFrame([("old1", "new"), ("old2", "gone"), ("old3", "gone")], "old string, new string")
     assert {r["id"]: r["n"] for r in C.migrated(saved, alias).collect()} == {"new": 2, "gone": 5}
+
+
+def test_converter(spark):
+    c = W.Converter({"山峰", "头发"}, {"皇后": "皇后"}, {"頭髮": "头发", "以後": "以后"}, {"頭": "头", "髮": "发", "後": "后"})
+    df = spark.createDataFrame([("以後頭髮",), ("皇后",), (None,), ("",)], "q string")
+    assert [r["q"] for r in W.converted(df, "q", c).collect()] == ["以后头发", "皇后", None, ""]
+    with pytest.raises(ValueError):
+        W.Converter(set(), {}, {}, {"a": "b", "b": "a"})("a")
+
+
+def test_blend_and_rerank(spark):
+    ranked = spark.createDataFrame([("q", 1, 0.9, 1), ("q", 2, 0.8, 2), ("q", 3, 0.7, 3)], "query string, pos long, score double, rank int")
+    raw = spark.createDataFrame([("q", 1, 0.0), ("q", 2, 4.0)], "query string, pos long, raw double")
+    got = {r["pos"]: (r["rank"], r["score"]) for r in G.minmax_rerank(ranked, raw, 2, 0.5).collect()}
+    assert got[2] == (1, pytest.approx(0.9)) and got[1] == (2, pytest.approx(0.45)) and got[3][0] == 3 and got[3][1] < 0.45
+    scores = spark.createDataFrame([([2.0],), ([1.0, 4.0],)], "s array<double>")
+    assert [r[0] for r in scores.select(G.logit(F.col("s"))).collect()] == [2.0, 3.0]
