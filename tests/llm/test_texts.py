@@ -83,6 +83,19 @@ def test_restore_rows(spark):
     assert B.restore_texts(spark.createDataFrame([("é" * 200_000, None)], "text string, lang string")).first()["repair"]["garbled"] is False
 
 
+def test_rare_characters_are_restored(spark, restorer):
+    rare = "簋匜罍觚，爵斝盉卣"
+    for read in ("latin-1", "cp1252", "cp437"):
+        half = B.HALVES[read]
+        garbled = "".join(chr(b) if b < 0x80 else half[b - 0x80] for b in rare.encode())
+        assert restorer.restore(garbled)[0] == rare
+    # Known from all texts, although too rare in the sample's sentences.
+    rows = [(s, lang) for s, lang in zip(SAYINGS * 150, LANGS * 150)] + [(f"{rare}{i}", "und") for i in range(3)] + [("簠", "und")] * 2
+    met = B.met_characters(spark.createDataFrame(rows, "text string, lang string"), "text")
+    assert set(rare) <= met and "簠" not in met
+    assert not restorer.readings.plausible(rare, set()) and B.Readings(frozenset(), {}, met).plausible(rare, set())
+
+
 def test_bucket_ends_are_optimal():
     counts = np.zeros(13, np.int64)
     counts[[1, 2, 5, 6, 7, 12]] = [5, 1, 4, 2, 9, 1]
