@@ -15,6 +15,8 @@ from hybridrank.runtime import Scratch
 
 #: Defaults: how many curves, dimensions and bits of a curve, rows of a window.
 CURVES, DIMS, BITS, WINDOW = 10, 10, 6, 2048
+#: Further bits of a curve, which order the rows of one cell, down to what single precision tells apart.
+FINE = 18
 
 
 def usable(vector: Column, dims: int) -> Column:
@@ -23,8 +25,11 @@ def usable(vector: Column, dims: int) -> Column:
     return F.coalesce((F.size(vector) == dims) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Places of grid cells (rows of small integers) along a Hilbert curve.
+def hilbert_words(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Places of grid cells (rows of small integers) along a Hilbert curve: ``(rows, words)``.
+
+    A word holds as many levels as 63 bits can, the highest first; so a longer
+    key of a finer grid begins with that of the coarser one.
 
     Works on all rows at once: first undoes the reflections and rotations of
     each level, from the highest bit down, then takes the Gray code and
@@ -44,15 +49,23 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
     turn = np.zeros_like(x[0])
     for level in range(bits - 1, 0, -1):
         turn = np.where(x[n - 1] & np.uint32(1 << level), turn ^ np.uint32((1 << level) - 1), turn)
-    key = np.zeros(len(turn), np.int64)
-    for level in range(bits - 1, -1, -1):
-        for i in range(n):
-            key = (key << 1) | (((x[i] ^ turn) >> np.uint32(level)) & np.uint32(1)).astype(np.int64)
-    return key
+    words = []
+    for top in range(bits, 0, -(63 // n)):
+        key = np.zeros(len(turn), np.int64)
+        for level in range(top - 1, max(top - 63 // n, 0) - 1, -1):
+            for i in range(n):
+                key = (key << 1) | (((x[i] ^ turn) >> np.uint32(level)) & np.uint32(1)).astype(np.int64)
+        words.append(key)
+    return np.stack(words, axis=1)
+
+
+def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Places along a Hilbert curve, where one word holds them."""
+    return hilbert_words(cells, bits)[:, 0]
 
 
 def curve_keys(unit: np.ndarray, curves: int, dims: int, bits: int, seed: int) -> np.ndarray:
-    """Keys of unit vectors on each curve: ``(rows, curves)``.
+    """Keys of unit vectors on each curve: ``(rows, curves, words)``.
 
     Every curve sees its own random orthonormal projection, shifted by a random
     part of the grid.
@@ -64,7 +77,7 @@ def curve_keys(unit: np.ndarray, curves: int, dims: int, bits: int, seed: int) -
         base = np.linalg.qr(rng.normal(size=(d, d)))[0][:, :use]
         reach = 3.2 / np.sqrt(d)  # a projection of a unit vector seldom goes further
         place = ((unit @ base) / reach + 1) / 4 + rng.uniform(0, 0.5, use)
-        keys.append(hilbert_key((np.clip(place, 0, 1 - 1e-9) * (1 << bits)).astype(np.uint32), bits))
+        keys.append(hilbert_words((np.clip(place, 0, 1 - 1e-9) * (1 << bits)).astype(np.uint32), bits))
     return np.stack(keys, axis=1)
 
 
@@ -88,7 +101,10 @@ class _Keys:
         for b in batches:
             if b.num_rows:
                 keys = curve_keys(_unit(_matrix(b.column("vec"), dims)), curves, use, bits, seed)
-                listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, curves, dtype=np.int32), pa.array(keys.ravel()))
+                size = 8 * keys.shape[2]
+                # Big-endian bytes compare like the words.
+                each = pa.Array.from_buffers(pa.binary(size), b.num_rows * curves, [None, pa.py_buffer(keys.astype(">i8").tobytes())]).cast(pa.binary())
+                listed = pa.ListArray.from_arrays(np.arange(0, len(each) + 1, curves, dtype=np.int32), each)
                 yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("vec"), listed], names=["cls", "vec", "keys"])
 
 
@@ -176,7 +192,9 @@ def nearest(
     so no hot vector fills a window; each class then stands for its first
     ``k + 1`` keys, more than which nobody can have as neighbours.  The classes
     are put in order along several Hilbert curves, of random projections, by a
-    range partitioning on (curve, key).  Each sorted partition is walked in
+    range partitioning on (curve, key).  A key goes on below the grid of
+    ``bits``, so that the rows of a crowded cell are in an order of their own on
+    every curve and may be parted between partitions.  Each sorted partition is walked in
     windows of ``window`` rows that overlap by half; within a window neighbours
     are exact.  Merging a class's lists over all curves and ranking them by the
     exact cosine gives its neighbours.
@@ -192,8 +210,8 @@ def nearest(
     )
     rows = scratch.keep(rows, "rows")
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("n") <= k + 1)
-    keyed = T.StructType([*first.select("cls", "vec").schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))])
-    classes = first.where("n = 1").select("cls", "vec").mapInArrow(_Keys(dims, curves, curve_dims, bits, seed), keyed)
+    keyed = T.StructType([*first.select("cls", "vec").schema.fields, T.StructField("keys", T.ArrayType(T.BinaryType()))])
+    classes = first.where("n = 1").select("cls", "vec").mapInArrow(_Keys(dims, curves, curve_dims, bits + FINE, seed), keyed)
     classes = scratch.keep(classes.withColumn("row", F.monotonically_increasing_id()), "classes")
     placed = classes.select("row", "vec", F.posexplode("keys").alias("curve", "key"))
     found = (

@@ -82,6 +82,16 @@ def test_recall_with_small_windows(spark):
     assert hits / (5 * len(rows)) >= 0.95 and all(len(v) == 5 for v in got.values())
 
 
+def test_recall_in_a_dense_cluster_of_many_windows(spark):
+    rng = np.random.default_rng(5)
+    dense = np.array([1.0] + [0.0] * 7) + 0.001 * rng.normal(size=(1200, 8))
+    rows = [(f"v{i:04d}", v.astype(np.float32).tolist()) for i, v in enumerate(np.concatenate([dense, rng.normal(size=(300, 8))]))]
+    df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], VEC)
+    truth, got = brute(rows, 5), found(df, window=128)
+    hits = sum(len(set(truth[i]) & set(got[i])) for i in truth)
+    assert hits / (5 * len(rows)) >= 0.95 and all(len(v) == 5 for v in got.values())
+
+
 def test_unusable_copies_ties_and_few(spark):
     nan, same = float("nan"), [1.0] + [0.0] * 7
     rows = [(f"s{i}", same) for i in range(12)] + [("t", [0.9, 0.1] + [0.0] * 6), ("u", [0.9, 0.1] + [0.0] * 6)]
