@@ -154,11 +154,11 @@ def token_topk(index: TokenIndex, q: DataFrame, k: int = 20, w: TokenWeights = T
     query needs to fill its ``k`` places: only the first ``k`` entries of the
     corpus and those a query has already can matter.
     """
-    scored = token_scores(index, q, w)
+    scored = token_scores(index, q, w).where("score > 0")
     first = F.broadcast(index.corpus.select("pos").orderBy("pos").limit(2 * k))
     fill = q.select("query").join(first).join(scored.select("query", "pos"), ["query", "pos"], "left_anti").withColumn("score", F.lit(0.0))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "pos")
-    return scored.where("score > 0").unionByName(fill).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.unionByName(fill).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def exact_headwords(corpus: DataFrame, queries: DataFrame, query: str = "query") -> DataFrame:

@@ -8,6 +8,7 @@ from hybridrank.functions import vectors as V
 from hybridrank.operators import families as M
 from hybridrank.operators import fusion as G
 from hybridrank.operators import fuzzy as Z
+from hybridrank.operators import lexical as L
 from hybridrank.operators import metrics as H
 from hybridrank.operators import segment as W
 from hybridrank.operators import vectors as D
@@ -59,6 +60,14 @@ def test_fuzzy_search_scores(spark):
     assert Z.fuzzy_search(corpus, q.limit(0), Z.Profile({"title": 0.5})).count() == 0
 
 
+def test_entries_of_evidence_without_weight_fill_places(spark):
+    rows = [(i, "lanterns", None, None, None) for i in (1, 2)] + [(3, "river", None, None, None)]
+    corpus = spark.createDataFrame(rows, "pos long, meaning string, literal string, example string, tags array<string>")
+    asked = L.asked(spark.createDataFrame([("lant",)], "query string"))
+    got = L.token_topk(L.TokenIndex(corpus), asked, 3, L.TokenWeights(fuzzy_prefix=0.0, fuzzy_contains=0.0)).collect()
+    assert sorted((r["rank"], r["pos"], r["score"]) for r in got) == [(1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0)]
+
+
 def test_vectors(spark, tmp_path):
     rng = np.random.default_rng(1)
     m = rng.normal(size=(40, 8))
