@@ -27,6 +27,8 @@ CIRCLED = r"[①-⒛⓵-⓾❶-➓]"
 MARK = r"[/;；|¦、\n\r\t•●▪◦‣∙]"
 APOSTROPHE = r"(?<=\p{L})’(?=\p{L})"
 PLAIN = r"[^\\<\n\-*–—(（\d①-⒛⓵-⓾❶-➓/;；|¦、\r\t•●▪◦‣∙\[\]{}）)［］｛｝〔〕【】「」『』《》〈〉“”‘’]+"
+#: What a cell must hold to be more than one bare value; without any of it, the folds would only carry the text through.
+SIGNS = r"[\"\\<“”/;；|¦、\n\r\t•●▪◦‣∙①-⒛⓵-⓾❶-➓\x{FDD0}-\x{FDD3}]|\A\s*[-*–—]|\d[)）.．]"
 TOKEN = "|".join(f"(?:{x})" for x in (ESCAPED, BREAK, BULLET, NUMBER, CIRCLED, MARK, APOSTROPHE, PLAIN, r"(?s:.)"))
 
 
@@ -122,7 +124,8 @@ def split_values(column: str) -> Column:
 
     parted = f"split(array_join({fore}, ''), '{SEP}', -1)"
     whole = let("tokens", _tokens(coded), let("marked", f"reverse({back})", let("bare", parted, values)))
-    return F.expr(f"case when {raw} is not null then {whole} end")
+    bare_value = f"regexp_replace({raw}, {_sql(space)}, '')"
+    return F.expr(f"case when {raw} rlike {_sql(SIGNS)} then {whole} when {raw} is not null then filter(array({bare_value}), v -> v <> '') end")
 
 
 def explode_values(df: DataFrame, column: str, value: str = "value", position: str = "value_pos") -> DataFrame:
@@ -133,6 +136,6 @@ def explode_values(df: DataFrame, column: str, value: str = "value", position: s
     """
     keep = [c for c in df.columns if c not in (value, position)]
     pairs = F.transform(split_values(column), lambda v, i: F.struct((i + 1).cast("int").alias("p"), v.alias("v")))
-    return df.withColumn("__values", pairs).select(*[F.col(f"`{c}`") for c in keep], F.explode("__values").alias("__one")).select(
-        *[F.col(f"`{c}`") for c in keep], F.col("__one.p").alias(position), F.col("__one.v").alias(value)
-    )
+    # The outer form keeps the optimizer from a filter on the number of values, which would split every cell twice.
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.explode_outer(pairs).alias("__one")).where("__one is not null")
+    return rows.select(*[F.col(f"`{c}`") for c in keep], F.col("__one.p").alias(position), F.col("__one.v").alias(value))
