@@ -9,28 +9,33 @@ from hybridrank.runtime import Scratch
 
 #: A node counts as hot from this share of all edges on.  At most
 #: ``2 / HOT_SHARE`` nodes can be hot, which bounds the broadcast side.
-HOT_SHARE = 1 / 2000
+HOT_SHARE, HOT_LEAST = 1 / 2000, 10_000
+#: The most rounds by default; a chain of n members takes about log n.
 ROUNDS = 60
 
 
-def _with_least(edges: DataFrame, key: str, least: DataFrame, total: int) -> DataFrame:
-    """``edges`` with the least neighbour of its ``key`` column.
+def _with_least(edges: DataFrame, key: str, other: str, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` with the least neighbour of their ``key`` column.
 
-    The edges of hot nodes meet their (few) minima in a broadcast join and so
-    never gather in one task; all other nodes are joined by a shuffle.
+    The edges of hot nodes meet their (few) minima in a broadcast join.  In the
+    join by shuffle that gives all others theirs, an edge of a hot node goes by
+    its other end, so that it never gathers with the rest of its node; what it
+    may meet there is not used.
     """
-    floor = max(10_000, int(total * HOT_SHARE))
+    floor = max(HOT_LEAST, int(total * HOT_SHARE))
     hot = least.where(F.col("degree") >= floor).select(F.col("node").alias(key), F.col("least").alias("hot_least"))
-    cold = least.where(F.col("degree") < floor).select(F.col("node").alias(key), "least")
+    all_ = least.select(F.col("node").alias("meet"), F.col("least").alias("cold_least"))
     marked = edges.join(F.broadcast(hot), key, "left")
-    return (
-        marked.where("hot_least is not null").withColumnRenamed("hot_least", "least")
-        .unionByName(marked.where("hot_least is null").drop("hot_least").join(cold, key))
-    )
+    met = marked.withColumn("meet", F.when(F.col("hot_least").isNull(), F.col(key)).otherwise(F.col(other))).join(all_, "meet", "left")
+    return met.select("high", "low", F.coalesce("hot_least", "cold_least").alias("least"))
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
-    """Every neighbour above a node moves to the node's least neighbour."""
+    """Every neighbour above a node moves to the node's least neighbour.
+
+    An edge gives one edge, so what comes out twice waits for the small star to
+    be told apart.
+    """
     both = edges.select(F.col("low").alias("node"), F.col("high").alias("other"), F.lit(0).alias("up")).unionByName(
         edges.select(F.col("high").alias("node"), F.col("low").alias("other"), F.lit(1).alias("up"))
     )
@@ -41,17 +46,17 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
         .where("degree > 0")
         .select("node", F.least("node", "other").alias("least"), "degree")
     )
-    return _with_least(edges, "low", least, total).select("high", F.col("least").alias("low")).distinct()
+    return _with_least(edges, "low", "high", least, total).select("high", F.col("least").alias("low"))
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node and its lower neighbours move to the least of them."""
     least = edges.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("degree"))
-    moved = _with_least(edges, "high", least, total).where("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
+    moved = _with_least(edges, "high", "low", least, total).where("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
     return moved.unionByName(least.select(F.col("node").alias("high"), F.col("least").alias("low"))).distinct()
 
 
-def star_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
+def star_components(pairs: DataFrame, a: str, b: str, rounds: int = ROUNDS) -> DataFrame:
     """``(member, head)`` for every member of a group of two or more but its head.
 
     ``pairs`` holds one match per row in the columns ``a`` and ``b``; other
@@ -63,7 +68,8 @@ def star_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     Each round is a large-star and a small-star rewrite, both distributed joins
     on edges of the current graph, and ends with a table in the shared folder.
     The rewrites stop when neither the number of edges nor their hash changes:
-    then all components are stars around their least member.
+    then all components are stars around their least member.  A graph that needs
+    more than ``rounds`` rounds raises an error; nothing is cut off.
     """
     spark = pairs.sparkSession
     scratch = Scratch(spark, "components")
@@ -76,7 +82,7 @@ def star_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     )
     facts = {"n": F.count(F.lit(1)), "h": F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))}
     edges, before = scratch.keep(edges, "edges-0", **facts), None
-    for i in range(1, ROUNDS + 1):
+    for i in range(1, rounds + 1):
         now = dict(scratch.facts)
         if now == before or not now["n"]:
             break
@@ -85,7 +91,7 @@ def star_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         if i > 1:
             scratch.drop(f"edges-{i - 2}")
     else:
-        raise RuntimeError(f"no fixed point after {ROUNDS} rounds")
+        raise RuntimeError(f"no fixed point after {rounds} rounds")
     return edges.select(F.col("high").alias("member"), F.col("low").alias("head"))
 
 

@@ -33,6 +33,16 @@ def test_components_against_union_find(spark):
     assert got == union_find([p for p in pairs if p[0] != p[1]])
 
 
+def test_components_with_hot_nodes(spark, monkeypatch):
+    from hybridrank.llm import components as C
+
+    monkeypatch.setattr(C, "HOT_LEAST", 5)
+    rng = random.Random(9)
+    pairs = [("m", f"leaf{i}") for i in range(200)] + [(f"z{rng.randint(0, 40)}", f"z{rng.randint(0, 40)}") for _ in range(60)] + [("leaf3", "a")]
+    got = {r["member"]: r["head"] for r in star_components(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect()}
+    assert got == union_find([p for p in pairs if p[0] != p[1]])
+
+
 def test_components_edges(spark):
     df = spark.createDataFrame([("a", None), (None, "b"), ("x", "x"), (None, None)], "a string, b string")
     assert star_components(df, "a", "b").count() == 0
