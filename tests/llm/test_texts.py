@@ -1,4 +1,7 @@
+import re
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from hybridrank.llm import lookalike as A
@@ -7,24 +10,70 @@ from hybridrank.llm.mixing import mix, sainte_lague, shares
 from hybridrank.llm.packing import bucket_ends, pack, plan_batches
 
 KINDS = {"chengyu": "headword", "pinyin": "pinyin"}
-FLAT = np.zeros((len(A.LETTERS), len(A.LETTERS)))
+NONE = A.Speller(np.zeros(A.ROWS * A.PLACES, np.float32))
 
 
 def head(t):
-    return A.viterbi(A.headword_lattice(t), FLAT)
+    return NONE.form(t, "headword")
 
 
 def read(t):
-    return A.tidy_pinyin(A.viterbi(A.pinyin_lattice(t), FLAT))
+    return NONE.form(t, "pinyin")
+
+
+def speller(texts, kind):
+    counts = np.zeros(A.ROWS * A.PLACES, np.float32)
+    for f in A._Count({"t": kind})(iter([pd.DataFrame({"t": texts})])):
+        counts[f["place"].to_numpy()] = f["n"].to_numpy()
+    return A.Speller(counts)
+
+
+def first_readings(t, kind):
+    return " ".join("".join(p[1][0] for p in token) for token in A.lattices(t, kind))
 
 
 def test_consistent_forms():
-    assert head("山​水︀") == head("　山水 ") == head("⼭⽔") == "山水"
+    assert head("山​水︀") == head("　山水 ") == head("⼭⽔") == "山水"
     assert head("风，飞") == head("⻛,⻜") == "风，飞" and head("ＡＢ１") == head("АВ1") == "AB1"
     assert head("己") != head("已") and head("国") != head("國") and head("a") != head("A")
-    forms = ["lǜ hǎi, mén", "lǜ hǎi, mén", "lù̈ hăi, mén", "ｌǜ һǎi， mén ", "l⁠ǜ hǎі, mén"]
+    forms = ["lǜ hǎi, mén", "lǜ hǎi, mén", "lù̈ hăi, mén", "ｌǜ һǎi， mén ", "l⁠ǜ hǎі, mén"]
     assert {read(f) for f in forms} == {"lǜ hǎi, mén"}
     assert read("má") != read("mà") and read("Má") != read("má") and read("mu") != read("mü")
+    assert head("＾Ο") == "^O" and head("＾A") == "^A" and read("") == "" and head("​ ") == ""
+
+
+def test_look_alikes_are_readings_in_both_directions():
+    for typed in ("a", "а", "ɑ"):
+        assert {"a", "а", "ɑ"} <= set(A._headword_place(typed)[1])
+    assert {"口", "囗", "ロ"} <= set(A._headword_place("ロ")[1]) and "口" not in A._headword_place("囗")[1]
+    assert {"ā", "а̄"} <= set(A._pinyin_place("а", "̄")[1])
+
+
+#: What is meant, and typed with look-alikes that stand for more than one letter.
+MEANT = ["人囗学", "口福", "204", "AO", "A204", "MOVIE", "lín", "jī", "xiǎo", "москва", "дно", "она", "сад", "ложка"]
+TYPED = ["人ロ学", "ロ福", "2О4", "АО", "А2О4", "МОVІЕ", "ӏín", "jı̄", "хıǎо", "mocквa", "днo", "oнa", "caд", "лoжкa"]
+
+
+def test_the_path_decides_where_first_readings_are_wrong():
+    corpus = ["人囗学", "大囗学", "口福", "口气", "2024", "1204", "A204", "AO", "MOVIE", "MOON", "lín lì", "jī qǐ xiǎo", "она сидела в саду", "сад и дно озера", "ложка и нож", "москва и дно", "вода несла она", "молодой мол, и сквозь дождь"] * 3
+    by_path = speller(corpus, "pinyin")
+    good = [by_path.form(t, "pinyin") == m for t, m in zip(TYPED, MEANT)]
+    first = [first_readings(t, "pinyin") == m for t, m in zip(TYPED, MEANT)]
+    assert all(good), [(t, by_path.form(t, "pinyin")) for t, g in zip(TYPED, good) if not g]
+    assert sum(first) <= len(MEANT) // 2
+    # Typed as meant, the same form comes out: the pair is found, and by first readings it is lost.
+    lost = [m for t, m in zip(TYPED, MEANT) if first_readings(t, "pinyin") != first_readings(m, "pinyin")]
+    assert [by_path.form(m, "pinyin") for m in MEANT] == MEANT and "204" in lost and "人囗学" in lost
+
+
+def test_viterbi_against_all_paths():
+    import itertools
+
+    sp = speller(["lín lì", "2024", "AO", "AIL", "она сад дно и"] * 5, "pinyin")
+    for t in ("ӏí", "А2О", "ОІl", "оna", "О", "саа"):
+        for token in A.lattices(t, "pinyin"):
+            score = lambda letters: sum(sp.step(a, b) for a, b in zip([A.END, *letters], [*letters, A.END]))
+            assert score(max(itertools.product(*[p[1] for p in token]), key=score)) == pytest.approx(score([x for x in re.findall(".[̀-ͯ]*", sp.spelled(token))]))
 
 
 def test_viterbi_prefers_one_script(spark):
@@ -34,11 +83,13 @@ def test_viterbi_prefers_one_script(spark):
     assert by["AОX", "lıng"] == ("AOX", "ling") and by["2О4", "cһī"][1] == "chī"
 
 
-def test_pairs(spark):
-    rows = [(1, "山水", "shān"), (1, "山水", "shān"), (2, "山​水", "shān"), (3, "山水", "shān"), (4, "山水", None), (5, "山水 ", None), (6, None, None), (7, "", ""), (8, "​", ""), (None, "⼭水", "shān")]
+def test_pairs(spark, monkeypatch):
+    monkeypatch.setattr(A, "PART", 2)
+    rows = [(1, "山水", "shān"), (1, "山水", "shān"), (2, "山​水", "shān"), (3, "山水", "shān"), (4, "山水", None), (5, "山水 ", None), (6, None, None), (7, "", ""), (8, "​", ""), (None, "⼭水", "shān")]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "pos long, chengyu string, pinyin string, form string, stored string")
     got = {(r["a"], r["b"]) for r in A.lookalike_pairs(df, "pos", KINDS).collect()}
     assert got == {(1, 2), (2, 3), (4, 5), (7, 8)}
+    assert {(r["key"], r["head"]) for r in A.lookalike_members(df, "pos", KINDS).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (7, 7), (8, 7)}
     assert A.lookalike_pairs(df.limit(0), "pos", KINDS).count() == 0
     long = spark.createDataFrame([("山" * 50_000 + "​", "ā " * 20_000)], "chengyu string, pinyin string")
     assert len(A.unify(long, KINDS).first()["chengyu_form"]) == 50_000
