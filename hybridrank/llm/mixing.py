@@ -11,21 +11,33 @@ from pyspark.sql.window import Window
 
 from hybridrank.runtime import Scratch
 
-#: How many blocks the whole mix has, tokens of a shard, and shards of a source at most.
-BLOCKS, SHARD_TOKENS, MOST_SHARDS = 10_000, 1 << 25, 4_096
+#: How many blocks the whole mix has at least, and blocks of a shard; tokens of a shard at least, and shards of all sources at most.
+BLOCKS, SHARD_BLOCKS, SHARD_TOKENS, SHARDS = 10_000, 16, 1 << 25, 1 << 16
 
 
 def sainte_lague(weights: list[float], seats: int, most: list[int] | None = None) -> list[int]:
     """``seats`` given one by one to the highest quotient ``weight / (2 * given + 1)``.
 
     Nobody gets more than ``most``; seats that nobody may take stay empty.
-    Ties go to whoever is listed first.  The seats are blocks, a fixed number
-    whatever the data, so a heap on the driver is enough.
+    Ties go to whoever is listed first.  All seats but about one per weight are
+    given at once: with a divisor above the final one, everybody's rounded
+    share is a part of the final number.
     """
     most = [seats] * len(weights) if most is None else most
     given = [0] * len(weights)
-    heap = [(-w, i) for i, w in enumerate(weights) if w > 0 and most[i] > 0]
+    open_ = [i for i, w in enumerate(weights) if w > 0 and most[i] > 0]
+    while open_ and seats - sum(given) > 2 * len(open_):
+        left = seats - sum(given) + sum(given[i] for i in open_)
+        divisor = sum(weights[i] for i in open_) / max(1, left - len(open_))
+        for i in open_:
+            given[i] = min(most[i], max(given[i], math.ceil(weights[i] / divisor - 0.5)))
+        full = [i for i in open_ if given[i] >= most[i]]
+        if not full:
+            break
+        open_ = [i for i in open_ if given[i] < most[i]]
+    heap = [(-weights[i] / (2 * given[i] + 1), i) for i, w in enumerate(weights) if w > 0 and given[i] < most[i]]
     heapq.heapify(heap)
+    seats -= sum(given)
     while seats and heap:
         _, i = heapq.heappop(heap)
         given[i] += 1
@@ -60,7 +72,7 @@ def mix(sizes: DataFrame, source: str, tokens: str, targets: DataFrame, total: i
     wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.where("source is not null and target_share > 0 and max_repeats > 0").collect()}
     keep = [c for c in sizes.columns if c != "times"]
     packed = sizes.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("whole"), F.col(f"`{source}`").alias("s"), F.col(f"`{tokens}`").cast("long").alias("n"))
-    rows = scratch.keep(packed.where((F.col("n") > 0) & F.col("s").isin(list(wanted))).withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = scratch.keep(packed.where((F.col("n") > 0) & F.col("s").isin(list(wanted))).withColumn("row", F.xxhash64("whole")), "rows")
     has = {r["s"]: r["n"] for r in rows.groupBy("s").agg(F.sum("n").alias("n")).collect()}
     names = sorted(has)
     whole = sum(wanted[s][0] for s in names)
@@ -70,10 +82,12 @@ def mix(sizes: DataFrame, source: str, tokens: str, targets: DataFrame, total: i
     out = [F.col(f"whole.`{c}`").alias(c) for c in keep]
     if not names or not total:
         return rows.limit(0).select(*out, F.lit(0).alias("times"))
-    block = max(total / blocks, 1.0)
+    shard_tokens = max(SHARD_TOKENS, sum(has.values()) / SHARDS)
+    # Every shard has blocks to give, however many shards there are.
+    block = max(min(total / blocks, shard_tokens / SHARD_BLOCKS), 1.0)
     quota = sainte_lague([share[s] for s in names], round(total / block), [math.floor(has[s] * wanted[s][1] / block + 0.5) for s in names])
 
-    shards = {s: min(MOST_SHARDS, math.ceil(has[s] / SHARD_TOKENS)) for s in names}
+    shards = {s: math.ceil(has[s] / shard_tokens) for s in names}
     per = spark.createDataFrame([(s, shards[s]) for s in names], "s string, shards int")
     placed = rows.join(F.broadcast(per), "s").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "row"), F.col("shards")).cast("int"))
     sums: dict[str, list[tuple[int, int]]] = {s: [] for s in names}
@@ -88,7 +102,7 @@ def mix(sizes: DataFrame, source: str, tokens: str, targets: DataFrame, total: i
             rest = 0.0 if passes >= most else given * block - passes * n
             quotas.append((s, shard, passes, round(rest / block)))
     parts = spark.createDataFrame(quotas, "s string, shard int, passes int, more long")
-    order = Window.partitionBy("s", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "row"), "row")
+    order = Window.partitionBy("s", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "row"), "row", "n")
     start = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     # A row belongs to the block in which its middle lies, so that long rows do not all round one way.
     chosen = placed.withColumn("block", F.floor((start + F.col("n") / 2) / block)).join(F.broadcast(parts), ["s", "shard"])

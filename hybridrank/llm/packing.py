@@ -15,12 +15,34 @@ from hybridrank.runtime import Scratch
 BUCKETS, RANK_ROWS = 256, 200_000
 
 
+def _lower_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points, in order of ``x``, make up the lower convex hull.
+
+    A point on or above the line between its neighbours of the moment cannot be
+    part of it, so all such points go at once, until none is left.
+    """
+    at = np.arange(len(x))
+    while len(at) > 2:
+        a, b, c = at[:-2], at[1:-1], at[2:]
+        below = (y[b] - y[a]) * (x[c] - x[b]) < (y[c] - y[b]) * (x[b] - x[a])
+        if below.all():
+            break
+        at = np.concatenate([at[:1], b[below], at[-1:]])
+    return at
+
+
 def bucket_ends(counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """Upper ends of at most ``buckets`` buckets of lengths with the least padding.
 
     ``counts[n]`` items have length ``n``.  Padding is what is missing from an
     item to the end of its bucket, summed over all items.  Dynamic programming
-    over the lengths that occur; every layer is one matrix step.
+    over the lengths that occur.  With ``M`` items and ``T`` tokens up to a
+    length, a bucket after the length ``i`` that ends at ``j`` adds ``end[j] *
+    (M[j] - M[i]) - (T[j] - T[i])``; so for all ``j`` of a layer at once, the
+    best ``i`` lies on the lower hull of the points ``(M[i], best[i] + T[i])``,
+    where its edges become steeper than ``end[j]``.  A layer takes time in the
+    number of different lengths, give or take a logarithm, and memory in that
+    number.
     """
     lengths = np.flatnonzero(counts)
     lengths = lengths[lengths > 0]
@@ -29,22 +51,22 @@ def bucket_ends(counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
         return lengths.tolist()
     many = np.concatenate([[0], np.cumsum(counts[lengths])]).astype(float)
     total = np.concatenate([[0], np.cumsum(counts[lengths] * lengths)]).astype(float)
-    # pad[i, j]: padding of a bucket of the lengths i to j - 1, which ends at length j - 1.
-    i, j = np.ogrid[: m + 1, : m + 1]
     ends = np.concatenate([[0], lengths]).astype(float)
-    pad = np.where(i < j, ends[j] * (many[j] - many[i]) - (total[j] - total[i]), np.inf)
-    best, cuts = pad[0].copy(), []
+    best = ends * many - total  # one bucket
+    cuts = []
     for _ in range(buckets - 1):
-        whole = best[:, None] + pad
-        cut = whole.argmin(axis=0)
-        best = whole[cut, np.arange(m + 1)]
-        cuts.append(cut)
+        height = best + total
+        hull = _lower_hull(many, height)
+        steep = np.diff(height[hull]) / np.diff(many[hull])
+        cut = hull[np.searchsorted(steep, ends, "left")]
+        best = best[cut] + ends * (many - many[cut]) - (total - total[cut])
+        cuts.append(cut.astype(np.int32))
     out, at = [], m
     for cut in reversed(cuts):
-        out.append(int(lengths[at - 1]))
-        at = int(cut[at])
         if at == 0:
             break
+        out.append(int(lengths[at - 1]))
+        at = min(int(cut[at]), at - 1)
     if at:
         out.append(int(lengths[at - 1]))
     return out[::-1]
@@ -105,8 +127,9 @@ def pack(sizes: DataFrame, key: str, tokens: str, capacity: int, buckets: int =
     programming over the global histogram (at most ``capacity`` rows reach the
     driver).  Batches form inside each bucket; what they leave free is filled by
     batches of shorter buckets (see ``plan_batches``).  Items take their places
-    by their rank in their bucket.  Ranks are counted in salted parts of a
-    bucket, so no bucket is ever gathered in one task.
+    by their rank in their bucket, in the order of a hash of their key, so the
+    result does not depend on how the table is partitioned.  Ranks are counted
+    in salted parts of a bucket, so no bucket is ever gathered in one task.
     """
     if capacity < 1:
         raise ValueError("a container must hold a token")
@@ -118,7 +141,7 @@ def pack(sizes: DataFrame, key: str, tokens: str, capacity: int, buckets: int =
     last = F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)).cast("int")
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).select(
         "key", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.least(F.lit(capacity), F.col("size") - F.col("piece").cast("long") * capacity).cast("int").alias("n"),
-        F.monotonically_increasing_id().alias("row"),
+        F.xxhash64("key", "piece").alias("row"),
     )
     pieces = scratch.keep(pieces, "pieces")
     seen = {r["n"]: r["count"] for r in pieces.where("n > 0").groupBy("n").count().collect()}
@@ -135,11 +158,11 @@ def pack(sizes: DataFrame, key: str, tokens: str, capacity: int, buckets: int =
 
     bucket_of = spark.createDataFrame([(n, int(np.searchsorted(ends, n))) for n in seen], "n int, bucket int")
     salts = max(1, math.ceil(sum(inside) / RANK_ROWS))
-    salted = pieces.where("n > 0").join(F.broadcast(bucket_of), "n").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    salted = pieces.where("n > 0").join(F.broadcast(bucket_of), "n").withColumn("salt", F.pmod(F.col("row"), F.lit(salts)).cast("int"))
     parts = salted.groupBy("bucket", "salt").agg(F.count(F.lit(1)).alias("many"))
     before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("bucket", "salt", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("offset"))
-    ranked = salted.withColumn("place", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("row")) - 1)
+    ranked = salted.withColumn("place", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("row", "key", "piece", "n")) - 1)
     ranked = ranked.join(parts, ["bucket", "salt"]).withColumn("rank", F.col("place") + F.col("offset"))
     ranges = F.broadcast(spark.createDataFrame(plan, "in_bucket int, first_rank long, items long, first_container long, each long"))
     inside_range = (F.col("bucket") == F.col("in_bucket")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("items"))

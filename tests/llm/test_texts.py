@@ -162,6 +162,44 @@ def test_bucket_ends_are_optimal():
         assert padding(bucket_ends(counts, b)) == best
 
 
+def test_bucket_ends_against_the_matrix():
+    rng = np.random.default_rng(8)
+    for n, b in ((60, 5), (90, 20), (120, 3)):
+        counts = np.zeros(n, np.int64)
+        counts[rng.choice(np.arange(1, n), n // 2, replace=False)] = rng.integers(1, 1000, n // 2)
+        lengths = np.flatnonzero(counts)
+        best = {0: 0.0}
+        for _ in range(b):
+            best = {j: min(v + sum(counts[x] * (lengths[j - 1] - x) for x in lengths[i:j]) for i, v in best.items() if i < j or j == 0) if j else 0.0 for j in range(len(lengths) + 1)}
+        ends = bucket_ends(counts, b)
+        assert len(ends) <= b and ends[-1] == lengths[-1]
+        assert sum(counts[x] * (min(e for e in ends if e >= x) - x) for x in lengths) == best[len(lengths)]
+
+
+def test_bucket_ends_of_many_lengths():
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    counts = np.concatenate([[0], rng.integers(1, 10**6, 65_536)])
+    tracemalloc.start()
+    began = time.process_time()
+    ends = bucket_ends(counts, 256)
+    took, (_, most) = time.process_time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(ends) == 256 and took < 10 and most < 1 << 30
+
+
+def test_partitioning_makes_no_difference(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, "big" if i % 3 else "small", int(n)) for i, n in enumerate(rng.integers(5, 60, 4000))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    targets = spark.createDataFrame([("big", 0.4, 1), ("small", 0.6, 3)], "source string, target_share double, max_repeats int")
+    mixes = [{(r["doc_id"], r["times"]) for r in mix(df.repartition(p), "source", "n", targets).collect()} for p in (1, 8)]
+    packs = [{(r["key"], r["container"]) for r in pack(df.repartition(p), "doc_id", "n", 100).collect()} for p in (1, 8)]
+    assert mixes[0] == mixes[1] and packs[0] == packs[1]
+
+
 def test_plan_covers_every_rank():
     plan, used = plan_batches(100, [10, 35, 60, 100], [57, 40, 13, 4])
     room = {}
@@ -197,6 +235,38 @@ def test_sainte_lague():
     assert sainte_lague([1, 1], 3) == [2, 1] and sainte_lague([5, 1], 10, [2, 3]) == [2, 3] and sainte_lague([0, 0], 4) == [0, 0]
 
 
+def test_sainte_lague_at_once_equals_one_by_one():
+    import random
+
+    def slow(weights, seats, most):
+        given = [0] * len(weights)
+        for _ in range(seats):
+            free = [i for i, w in enumerate(weights) if w > 0 and given[i] < most[i]]
+            if not free:
+                break
+            given[max(free, key=lambda i: (weights[i] / (2 * given[i] + 1), -i))] += 1
+        return given
+
+    rng = random.Random(4)
+    for _ in range(200):
+        w = [rng.choice([0, 1, 3, 7, 20, 20.5, 400]) for _ in range(rng.randint(1, 7))]
+        most = [rng.choice([0, 5, 40, 1000]) for _ in w]
+        seats = rng.randint(0, 300)
+        assert sainte_lague(w, seats, most) == slow(w, seats, most)
+    assert sum(sainte_lague([1.0] * 1000, 1_000_000)) == 1_000_000
+
+
+def test_mix_of_many_shards(spark, monkeypatch):
+    from hybridrank.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 2_000)
+    rng = np.random.default_rng(16)
+    df = spark.createDataFrame([(i, "ab"[i % 2], int(n)) for i, n in enumerate(rng.integers(5, 60, 4000))], "doc_id long, source string, n long")
+    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r for r in shares(mix(df, "source", "n", targets), "source", "n", targets).collect()}
+    assert abs(got["a"]["actual_share"] - 0.7) < 0.01 and got["a"]["most_times"] <= 2 and got["b"]["most_times"] == 1
+
+
 def test_mix(spark):
     rng = np.random.default_rng(6)
     rows = [(i, "big" if i % 3 else "small", int(n), "x") for i, n in enumerate(rng.integers(5, 60, 3000))] + [(9001, None, 10, "x"), (9002, "other", 10, "x"), (9003, "big", None, "x"), (9004, "big", 0, "x")]
