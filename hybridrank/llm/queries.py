@@ -85,9 +85,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Garbled documents with their text as far as it can be recovered."""
+    """Garbled documents with their text as far as it can be recovered, and whether any of it could."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return restore_texts(docs).where("repair.garbled").select("doc_id", F.col("repair.text").alias("restored_text"), F.col("repair.chain").alias("chain"))
+    kind = F.when(F.col("repair.chain").isNotNull(), "restored").otherwise("beyond repair")
+    return restore_texts(docs).where("repair.garbled").select("doc_id", F.col("repair.text").alias("restored_text"), F.col("repair.chain").alias("chain"), kind.alias("kind"))
 
 
 def _sizes(spark: SparkSession, sf_dir: str, tag: str) -> DataFrame:
