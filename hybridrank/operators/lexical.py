@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from hybridrank.functions.query import ROUTE_STOPWORDS, focused, listed, preferred_mode
 from hybridrank.functions.text import content_tokens, frequencies, has_unified_han, ngrams, plain_pinyin, route_text, words
-from hybridrank.runtime import Scratch, small_side
+from hybridrank.operators.grams import containing
+from hybridrank.runtime import Scratch
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,8 @@ WEIGHTS_BY_TYPE = {"thematic": {"tag": 0.45, "concept_overlap": 0.5}, "literal":
 
 def entries(rows: DataFrame) -> DataFrame:
     """The corpus with one row per position; a position given twice counts once."""
-    return rows.groupBy("pos").agg(*[F.min(c).alias(c) for c in rows.columns if c not in ("pos", "tags", "updated_at", "loaded_at")], F.min("tags").alias("tags"))
+    rest = [c for c in rows.columns if c not in ("pos", "updated_at", "loaded_at")]
+    return rows.groupBy("pos").agg(F.min(F.struct("id", *[c for c in rest if c != "id"])).alias("r")).select("pos", *[f"r.{c}" for c in rest])
 
 
 def _text(*parts: Column) -> Column:
@@ -97,9 +99,9 @@ def token_scores(index: TokenIndex, q: DataFrame, w: TokenWeights = TokenWeights
     """``(query, pos, score)`` for every entry with any evidence for a query.
 
     ``q`` comes from ``asked``.  Entries that are not in the result score 0.
-    All evidence is found by equi-joins of query tokens and n-grams with the
-    inverted index; only whole-phrase and partial-word matches compare pairs,
-    of different texts and words, each counted once however often they occur.
+    All evidence is found by equi-joins: of query tokens and n-grams with the
+    inverted index, and for whole phrases and parts of words by their rarest
+    run of characters.
     """
     post, n = index.post, F.size("tokens")
     per_token = q.select("query", n.alias("n"), focused(F.col("tokens")).alias("focus"), F.explode(frequencies(F.col("tokens"))).alias("token", "occ"))
@@ -131,14 +133,18 @@ def token_scores(index: TokenIndex, q: DataFrame, w: TokenWeights = TokenWeights
         "query", "pos", (F.coalesce(F.try_divide(F.col("occ") * F.col("in_lit"), F.col("n2")), F.lit(0.0)) * w.literal_bigram + F.col("occ") * F.col("in_all") / F.col("n_all") * w.multi_gram).alias("score")
     )
 
-    texts = index.feats.where("literal_text <> ''").select("literal_text", "pos")
-    asked_for = small_side(q.select("query", F.lower("query").alias("low")))
-    phrase = texts.select("literal_text").distinct().join(asked_for, F.col("literal_text").contains(F.col("low"))).join(texts, "literal_text").select("query", "pos", F.lit(w.literal_phrase).alias("score"))
+    asked_for = q.select("query", F.lower("query").alias("low"))
+    texts = index.feats.where("literal_text <> ''").select("pos", "literal_text")
+    phrase = containing(asked_for, "low", texts, "pos", "literal_text").join(asked_for, "low").select("query", "pos", F.lit(w.literal_phrase).alias("score"))
 
+    # Words of the corpus that hold a word of a query, and the other way round.
     vocabulary = index.idf.select(F.col("token").alias("v"))
-    part = small_side(per_token.where(F.length("token") >= 4).select("token").distinct())
+    part = per_token.where(F.length("token") >= 4).select("token").distinct()
+    same = lambda df, c: df.select(F.col(c), F.col(c).alias("same"))
+    wider = containing(part, "token", same(vocabulary, "v"), "same", "v").select("v", "token")
+    narrower = containing(vocabulary, "v", same(part, "token"), "same", "token").select("v", "token")
     either = lambda f: f(F.col("v"), F.col("token")) | f(F.col("token"), F.col("v"))
-    related = vocabulary.join(part, either(F.contains)).withColumn("prefix", (F.length("v") >= 4) & either(F.startswith))
+    related = wider.union(narrower).distinct().withColumn("prefix", (F.length("v") >= 4) & either(F.startswith))
     kin = per_token.select("query", "token", "occ").join(related, "token").join(post.select(F.col("token").alias("v"), "pos"), "v")
     kin = kin.groupBy("query", "token", "pos").agg(F.first("occ").alias("occ"), F.max(F.col("v") == F.col("token")).alias("same"), F.max("prefix").alias("prefix"))
     partial = kin.where("not same").select("query", "pos", (F.col("occ") * F.when(F.col("prefix"), w.fuzzy_prefix).otherwise(w.fuzzy_contains)).alias("score"))

@@ -12,10 +12,11 @@ from hybridrank.operators import families as M
 from hybridrank.operators import fusion as G
 from hybridrank.operators import lexical as L
 from hybridrank.operators import vectors as D
+from hybridrank.operators.grams import containing
 from hybridrank.plans import sql as S
 from hybridrank.plans.catalogue import query
 from hybridrank.plans.text_queries import _SYL, _scored_sql, corpus, known_syllables, log_queries
-from hybridrank.runtime import small_side, table
+from hybridrank.runtime import table
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +92,8 @@ def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _channels(spark: SparkSession, sf_dir: str):
     c, q = corpus(spark, sf_dir), log_queries(spark, sf_dir)
     semantic = L.token_topk(L.TokenIndex(c), L.asked(q)).withColumn("score", F.least(F.col("score") / 3, F.lit(1.0)))
-    texts = c.select("pos", F.lower("meaning").alias("low"))
-    asked = small_side(L.asked(q).select("query", F.lower("query").alias("q")))
-    inside = texts.join(asked, F.col("low").contains(F.col("q"))).select("query", "pos", F.lit(0.8).alias("score"))
+    asked = L.asked(q).select("query", F.lower("query").alias("q"))
+    inside = containing(asked, "q", c.select("pos", F.lower("meaning").alias("low")), "pos", "low").join(asked, "q").select("query", "pos", F.lit(0.8).alias("score"))
     keyword = inside.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("pos"))).where("rank <= 20")
     types = q.select("query", Q.query_type(F.col("query"), known_syllables(spark, sf_dir)).alias("query_type"))
     return semantic, keyword, L.exact_pinyin(c, q), types
