@@ -194,8 +194,10 @@ def visible_tags(tags: Column, formality: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """The 32-bit FNV-1a hash of a text in the Basic Multilingual Plane."""
-    codes = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long"))
+    """The 32-bit FNV-1a hash of a text over its UTF-16 units; null counts as empty."""
+    units = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-16BE"))
+    starts = F.when(F.length(units) > 0, F.sequence(F.lit(0), (F.length(units) / 4 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    codes = F.transform(starts, lambda i: F.conv(units.substr(i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: h.bitwiseXOR(c) * F.lit(16777619) % F.lit(4294967296))
 
 
@@ -203,3 +205,32 @@ def stable_id(headword: Column, pinyin: Column) -> Column:
     """An identifier that depends on the headword and its reading only."""
     body = F.to_json(F.struct(single_spaced(headword).alias("chengyu"), single_spaced(pinyin).alias("pinyin")))
     return F.concat(F.lit("chengyu_"), F.substring(F.sha1(body), 1, 16))
+
+
+def legacy_id(entry: dict[str, Column], tags: Column) -> Column:
+    """The identifier of old records, over all their texts; ``entry`` holds chengyu, pinyin, literal, meaning, example and formality."""
+    order = ("chengyu", "pinyin", "literal", "meaning", "example")
+    listed = F.transform(F.coalesce(tags, F.array().cast("array<string>")), single_spaced)
+    body = F.to_json(F.struct(*[single_spaced(entry[f]).alias(f) for f in order], listed.alias("tags"), single_spaced(entry["formality"]).alias("formality")))
+    return F.concat(F.lit("chengyu_"), F.substring(F.sha1(body), 1, 16))
+
+
+def character_sense(sense: Column) -> Column:
+    """A dictionary sense for a one-line gloss: without measure words, cross-references and pinyin in brackets."""
+    out = F.coalesce(sense, F.lit(""))
+    for pattern in (r"\(?CL:[^)]*\)?", r"(?i)\((?:variant of|old variant of|see|also written|same as)[^)]*\)", r"\[[^\]]*\]", r"(?i)\(bound form\)\s*"):
+        out = F.regexp_replace(out, pattern, "")
+    return F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"^[\s;,]+|[\s;,]+$", "")
+
+
+def example_preview(zh: Column, headword: Column, visible: int) -> Column:
+    """An example from the clause on that holds the headword, where it would else end beyond ``visible`` characters."""
+    at = F.instr(zh, headword) - 1
+    clause = F.regexp_extract(zh.substr(F.lit(1), F.greatest(at, F.lit(0))), r"(?s)^(.*[，。；：！？,;:])", 1)
+    late = (at >= 0) & (at + F.length(headword) > visible) & (clause != "")
+    return F.when(late, F.concat(F.lit("…"), zh.substr(F.length(clause) + 1, F.length(zh)))).otherwise(zh)
+
+
+def exact_match(rank: Column, relevance: Column, query_type: Column) -> Column:
+    """Whether a result is what was looked up: the first, of full relevance, for a reading or a headword."""
+    return (rank == 1) & (relevance == 100) & query_type.isin("pinyin", "chinese_exact")

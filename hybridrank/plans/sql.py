@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from hybridrank.functions.query import ABSTRACT, CONCRETE, PARTIAL, ROUTE_STOPWORDS, THEMES
-from hybridrank.functions.text import PLAIN_VOWELS, STOPWORDS
+from hybridrank.functions.text import COMPACT_MARKS, PLAIN_VOWELS, STOPWORDS
 
 
 def strings(values: list[str]) -> str:
@@ -66,3 +66,43 @@ def query_type(q: str) -> str:
 
 def route_content(x: str) -> str:
     return f"list_filter({x}, lambda w: NOT list_contains({strings(ROUTE_STOPWORDS)}, w))"
+
+
+_SPACE = "[\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+def spaced(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '{_SPACE}', ' ', 'g'), ' ')"
+
+
+def utf16(x: str) -> str:
+    """The UTF-16 units of a text as a list."""
+    return f"flatten(list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)::BIGINT] ELSE [55296 + ((unicode(c)::BIGINT - 65536) // 1024), 56320 + (unicode(c)::BIGINT - 65536) % 1024] END))"
+
+
+def fnv(x: str) -> str:
+    return f"list_reduce({utf16(x)}, lambda h, c: (xor(h, c) * 16777619) % 4294967296, 2166136261::BIGINT)"
+
+
+def html(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#39;')"
+
+
+def half(x: str) -> str:
+    plain = "".join(map(chr, [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]))
+    return f"trim(translate({x}, '{''.join(chr(ord(c) + 0xFEE0) for c in plain)}', '{plain}'), ' ')"
+
+
+def compact(x: str) -> str:
+    marks = COMPACT_MARKS.replace("'", "''")
+    text = f"coalesce({x}, '')"
+    return f"lower(regexp_replace({half(text)}, '{marks}', '', 'g'))"
+
+
+def tone_marked(s: str) -> str:
+    """A numbered syllable with its tone as a combining mark."""
+    base = f"translate(replace(lower(regexp_replace({s}, '[1-5]$', '')), 'u:', 'ü'), 'v', 'ü')"
+    has = lambda x, more=0: f"WHEN contains({base}, '{x}') THEN instr({base}, '{x}') + {more}"
+    at = f"CASE {has('a')} {has('o')} {has('e')} {has('iu', 1)} {has('ui', 1)} {has('i')} {has('u')} ELSE instr({base}, 'ü') END"
+    mark = f"CASE right({s}, 1) WHEN '1' THEN chr(772) WHEN '2' THEN chr(769) WHEN '3' THEN chr(780) WHEN '4' THEN chr(768) ELSE '' END"
+    return f"CASE WHEN NOT regexp_matches({s}, '^[A-Za-züv:]+[1-5]$') THEN {s} WHEN {at} = 0 THEN {base} ELSE left({base}, {at}) || {mark} || substr({base}, {at} + 1) END"

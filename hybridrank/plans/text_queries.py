@@ -24,7 +24,9 @@ def log_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def known_syllables(spark: SparkSession, sf_dir: str):
     """The syllables of pinyin without dots, as an array literal: a fixed table of some 400 rows."""
-    rows = table(spark, sf_dir, "pinyin_syllable").limit(5000).collect()
+    rows = table(spark, sf_dir, "pinyin_syllable").limit(5001).collect()
+    if len(rows) > 5000:
+        raise ValueError("a table of syllables has some 400 rows, not over 5,000")
     return Q.listed(sorted({r["syllable"].replace("ü", "u") for r in rows}))
 
 
@@ -71,19 +73,31 @@ def score_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("pos", X.squashed(F.coalesce(F.col("frequency"), F.lit(0.0)), 3).alias("squashed"), X.percent(f).alias("percent"), F.array_join(X.visible_tags(F.col("tags"), F.col("formality")), ",").alias("shown"))
 
 
-@query(f"WITH {S.CORPUS} SELECT pos, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(chengyu, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS fnv FROM corpus WHERE chengyu IS NOT NULL AND chengyu <> '' AND NOT regexp_matches(chengyu, '[\\x{{10000}}-\\x{{10ffff}}]')")
+@query(f"WITH {S.CORPUS} SELECT pos, {S.fnv('chengyu')} AS fnv FROM corpus WHERE chengyu IS NOT NULL")
 def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 32-bit FNV-1a hash of headwords of the Basic Multilingual Plane."""
-    flat = corpus(spark, sf_dir).where("chengyu is not null and chengyu <> ''").where(~F.col("chengyu").rlike("[\\x{10000}-\\x{10ffff}]"))
-    return flat.select("pos", X.fnv1a(F.col("chengyu")).alias("fnv"))
+    """The 32-bit FNV-1a hash of headwords."""
+    return corpus(spark, sf_dir).where("chengyu is not null").select("pos", X.fnv1a(F.col("chengyu")).alias("fnv"))
 
 
-@query()
+_JSON = lambda f: f"to_json({S.spaced(f)})::VARCHAR"
+
+
+@query(
+    f"""WITH {S.CORPUS} SELECT pos, 'chengyu_' || left(sha1('{{"chengyu":' || {_JSON('chengyu')} || ',"pinyin":' || {_JSON('pinyin')} || '}}'), 16) AS stable_id,
+ 'chengyu_' || left(sha1('{{"chengyu":' || {_JSON('chengyu')} || ',"pinyin":' || {_JSON('pinyin')} || ',"literal":' || {_JSON('literal')} || ',"meaning":' || {_JSON('meaning')} || ',"example":' || {_JSON('example')}
+ || ',"tags":[' || array_to_string(list_transform(coalesce(tags, []), lambda t: {_JSON('t')}), ',') || '],"formality":' || {_JSON('formality')} || '}}'), 16) AS legacy_id FROM corpus"""
+)
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).select("pos", X.stable_id(F.col("chengyu"), F.col("pinyin")).alias("stable_id"))
+    """Identifiers by headword and reading, and those of old records by all their texts."""
+    e = {f: F.col(f) for f in ("chengyu", "pinyin", "literal", "meaning", "example", "formality")}
+    return corpus(spark, sf_dir).select("pos", X.stable_id(F.col("chengyu"), F.col("pinyin")).alias("stable_id"), X.legacy_id(e, F.col("tags")).alias("legacy_id"))
 
 
-@query()
+@query(
+    rf"""WITH c AS (SELECT DISTINCT entry_no, simplified, pinyin FROM cedict WHERE pinyin IS NOT NULL), m AS (SELECT *, array_to_string(list_transform(string_split(pinyin, ' '), lambda s: {S.tone_marked('s')}), ' ') AS marked FROM c),
+p AS (SELECT *, list_filter(string_split(simplified, ''), lambda x: x <> '') AS chars, list_filter(string_split(regexp_replace(regexp_replace(marked, '[,，]', ' ', 'g'), '\s+', ' ', 'g'), ' '), lambda x: x <> '') AS spoken FROM m)
+SELECT entry_no, marked, array_to_string(list_transform(chars, lambda x, i: x || '=' || CASE WHEN regexp_matches(x, '[\x{{3400}}-\x{{9fff}}]') THEN coalesce(spoken[len(list_filter(chars[1:i], lambda y: regexp_matches(y, '[\x{{3400}}-\x{{9fff}}]')))], '') ELSE '' END), ' ') AS aligned FROM p"""
+)
 def pinyin_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary readings with tone marks, aligned to the characters."""
     c = table(spark, sf_dir, "cedict").where("pinyin is not null").select("entry_no", "simplified", "pinyin").distinct()
@@ -92,13 +106,43 @@ def pinyin_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("entry_no", marked.alias("marked"), aligned.alias("aligned"))
 
 
-@query()
+_PARTS = r"'(?s)^(.*?)\s*[(（]([^()（）]*)[)）]\s*$'"
+_NOTE = r"'(?i)\s*\(\s*idiom\b,?\s*([^()]*)\)'"
+
+
+@query(
+    rf"""WITH {S.CORPUS} SELECT pos, CASE WHEN regexp_matches(example, {_PARTS}) THEN regexp_extract(example, {_PARTS}, 1) ELSE example END AS zh, CASE WHEN regexp_matches(example, {_PARTS}) THEN regexp_extract(example, {_PARTS}, 2) END AS en,
+ trim(regexp_extract(example, '^([^(（]*)', 1), ' ') AS annotated,
+ array_to_string(list_filter(list_transform(regexp_extract_all(meaning, {_NOTE}, 1), lambda n: regexp_replace(trim(n, ' '), '\.$', '')), lambda n: n <> ''), '; ') AS note,
+ trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(meaning, {_NOTE}, '', 'g'), '\s+([;,.])', '\1', 'g'), ';\s*;', ';', 'g'), '^[;,\s]+|[;,\s]+$', '', 'g'), ' ') AS plain_meaning FROM corpus"""
+)
 def example_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Examples in two parts, the part to annotate, and meanings without their notes."""
     e, n = X.example_parts(F.col("example")), X.idiom_notes(F.col("meaning"))
     return corpus(spark, sf_dir).select("pos", e["zh"].alias("zh"), e["en"].alias("en"), X.before_parenthesis(F.col("example")).alias("annotated"), n["note"].alias("note"), n["meaning"].alias("plain_meaning"))
 
 
+@query(
+    r"""WITH d AS (SELECT DISTINCT entry_no, definitions FROM cedict WHERE definitions IS NOT NULL)
+SELECT entry_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(definitions, '\(?CL:[^)]*\)?', '', 'g'), '(?i)\((?:variant of|old variant of|see|also written|same as)[^)]*\)', '', 'g'), '\[[^\]]*\]', '', 'g'), '(?i)\(bound form\)\s*', '', 'g'), '\s+', ' ', 'g'), '^[\s;,]+|[\s;,]+$', '', 'g') AS sense FROM d"""
+)
+def character_senses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary senses as one-line glosses."""
+    d = table(spark, sf_dir, "cedict").where("definitions is not null").select("entry_no", "definitions").distinct()
+    return d.select("entry_no", X.character_sense(F.col("definitions")).alias("sense"))
+
+
+@query(
+    f"""WITH {S.CORPUS}, z AS (SELECT pos, chengyu, trim(regexp_extract(example, '^([^(（]*)', 1), ' ') AS zh FROM corpus WHERE example IS NOT NULL AND chengyu <> ''),
+a AS (SELECT *, instr(zh, chengyu) - 1 AS place FROM z), b AS (SELECT *, regexp_extract(left(zh, greatest(place, 0)), '(?s)^(.*[，。；：！？,;:])', 1) AS clause FROM a)
+SELECT pos, CASE WHEN place >= 0 AND place + length(chengyu) > 12 AND clause <> '' THEN '…' || substr(zh, length(clause) + 1) ELSE zh END AS preview FROM b"""
+)
+def example_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples cut to the clause that holds the headword."""
+    e = corpus(spark, sf_dir).where("example is not null and chengyu <> ''")
+    return e.select("pos", X.example_preview(X.before_parenthesis(F.col("example")), F.col("chengyu"), 12).alias("preview"))
+
+
 @query(f"WITH {S.ASKED}, {_SYL} SELECT query, {S.query_type('query')} AS query_type FROM asked, syl")
 def query_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_queries(spark, sf_dir).select("query", Q.query_type(F.col("query"), known_syllables(spark, sf_dir)).alias("query_type"))

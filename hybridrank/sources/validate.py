@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hybridrank.functions.text import single_spaced
+from hybridrank.sources.export import template as template_text
+
 
 def vector_findings(corpus: DataFrame, artifact: DataFrame, dims: int) -> DataFrame:
     """``(finding, n)``: missing, extra and duplicate ids, and null, misshapen or non-finite vectors."""
@@ -41,12 +44,12 @@ def link_findings(links: DataFrame, headwords: DataFrame) -> DataFrame:
 
 
 def corpus_hash(corpus: DataFrame, template: str, version: str) -> DataFrame:
-    """``(version, template, n, hash)``: a hash of all rows in order.
+    """``(version, template, n, hash)``: a hash of identifier, headword and embedded text of all rows in order.
 
     Rows are hashed where they are, blocks of 10,000 positions next, and the
     block hashes last, so no task gathers the corpus.
     """
-    row = F.sha2(F.to_json(F.struct("id", "chengyu", F.col(template).alias("text"))), 256)
+    row = F.sha2(F.to_json(F.struct("id", single_spaced(F.col("chengyu")).alias("chengyu"), template_text(template).alias("text"))), 256)
     blocks = corpus.select("pos", row.alias("h")).groupBy(F.floor(F.col("pos") / 10_000).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), "")
     return blocks.agg(F.sum("n").alias("n"), F.sha2(F.concat(F.lit(f"{version}|{template}|"), whole), 256).alias("hash")).select(F.lit(version).alias("version"), F.lit(template).alias("template"), "n", "hash")
