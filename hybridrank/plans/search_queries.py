@@ -15,7 +15,7 @@ from hybridrank.operators import vectors as D
 from hybridrank.operators.grams import containing
 from hybridrank.plans import sql as S
 from hybridrank.plans.catalogue import query
-from hybridrank.plans.text_queries import _SYL, _scored_sql, corpus, known_syllables, log_queries
+from hybridrank.plans.text_queries import _scored_sql, corpus, known_syllables, log_queries, scored_ctes
 from hybridrank.runtime import table
 
 
@@ -58,7 +58,11 @@ def int8_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _int8(spark, sf_dir).select("pos", F.array_join(F.col("vec").cast("array<string>"), " ").alias("bytes"), F.round(1 / V.norm(F.col("vec")), 6).alias("scale"))
 
 
-@query()
+@query(
+    f"""WITH b AS (SELECT vec_id, {_BYTES} AS q FROM embeddings), i AS (SELECT vec_id, q, (1 / sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x))))::FLOAT::DOUBLE AS scale FROM b),
+s AS (SELECT a.vec_id AS query_id, i.vec_id AS pos, round(list_dot_product(list_transform(a.embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))), i.q::DOUBLE[]) * i.scale, 9) AS x FROM embeddings a, i WHERE a.vec_id % 100 = 0)
+SELECT query_id, pos, round(x, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, pos) AS rank FROM s QUALIFY rank <= 20"""
+)
 def int8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.ranked(D.scan(_int8(spark, sf_dir), _asked(spark, sf_dir), 20)).withColumn("score", F.round("score", 6))
 
@@ -100,7 +104,7 @@ def _channels(spark: SparkSession, sf_dir: str):
 
 
 _FUSED = _scored_sql(
-    f""", {_SYL},
+    f""",
 sem AS (SELECT query, pos, least(score / 3, 1.0) AS s, row_number() OVER (PARTITION BY query ORDER BY score DESC, pos) AS r FROM s QUALIFY r <= 20),
 kw AS (SELECT q_.query, c.pos, 0.8 AS w, row_number() OVER (PARTITION BY q_.query ORDER BY c.pos) AS r FROM q_ JOIN corpus c ON contains(lower(c.meaning), lower(q_.query)) QUALIFY r <= 20),
 px AS (SELECT query, pos FROM asked JOIN corpus ON {S.plain_pinyin('query')} = {S.plain_pinyin('pinyin')} WHERE NOT {S.has_han('query')} AND {S.plain_pinyin('query')} <> ''),
@@ -189,7 +193,13 @@ def family_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.related_of(asked, c, M.cluster_links(links, c))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_LINKS}, {S.CORPUS}, ask AS (SELECT DISTINCT trim(chengyu, ' ') AS headword FROM corpus WHERE pos % 100 = 0),
+rel AS (SELECT ask.headword, o.headword AS other, 0 AS far FROM ask JOIN cl m USING (headword) JOIN cl o ON o.cluster = m.cluster AND o.headword <> m.headword
+ UNION ALL SELECT ask.headword, o.headword, 1 FROM ask JOIN cl m USING (headword) JOIN tied t ON t.cluster = m.cluster JOIN cl o ON o.cluster = t.other),
+sense AS (SELECT coalesce(nullif(trim(simplified, ' '), ''), chengyu) AS other, pos FROM corpus)
+SELECT headword, count(*)::INT AS senses, string_agg(other, ',' ORDER BY far, other, pos) AS others FROM rel JOIN sense USING (other) GROUP BY headword"""
+)
 def family_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sense of the relatives of every entry whose position is divisible by 100."""
     links = _links(spark, sf_dir)
@@ -200,7 +210,16 @@ def family_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.variants_of(asked, c, tied, common, e).select("headword", F.size("variants").alias("senses"), F.array_join(F.transform("variants", lambda v: v["other"]), ",").alias("others"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_LINKS}, {scored_ctes()},
+near AS (SELECT cluster, list(other) AS near FROM tied GROUP BY cluster),
+top AS (SELECT query, pos, row_number() OVER (PARTITION BY query ORDER BY score DESC, pos) AS rank FROM s QUALIFY rank <= 40),
+r AS (SELECT top.query, top.pos, top.rank, trim(c.chengyu, ' ') AS headword, cl.cluster, list_prepend(cl.cluster, coalesce(near.near, [])) AS around FROM top JOIN corpus c USING (pos) LEFT JOIN cl ON cl.headword = trim(c.chengyu, ' ') LEFT JOIN near ON near.cluster = cl.cluster),
+w AS (SELECT query, rank, true AS keep, CASE WHEN cluster IS NULL THEN [] ELSE [{{'c': cluster, 'h': headword}}] END AS kept FROM r WHERE rank = 1
+ UNION ALL SELECT query, rank, keep, CASE WHEN keep AND cluster IS NOT NULL THEN list_append(kept, {{'c': cluster, 'h': headword}}) ELSE kept END FROM (
+  SELECT r.*, w.kept, r.cluster IS NULL OR len(list_filter(w.kept, lambda k: list_contains(r.around, k.c) AND k.h <> r.headword)) = 0 AS keep FROM w JOIN r ON r.query = w.query AND r.rank = w.rank + 1))
+SELECT query, pos, headword, rank, row_number() OVER (PARTITION BY query ORDER BY rank) AS collapsed_rank FROM w JOIN r USING (query, rank) WHERE keep QUALIFY collapsed_rank <= 10"""
+)
 def collapse_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings of the log's English queries, without rows related to a better one."""
     links = _links(spark, sf_dir)
@@ -210,9 +229,19 @@ def collapse_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.collapse(ranked, c, M.cluster_links(links, c)).where("collapsed_rank <= 10").select("query", "pos", "headword", "rank", "collapsed_rank")
 
 
-@query(f"WITH {S.CORPUS}, {S.ASKED}, px AS (SELECT query, pos FROM asked JOIN corpus ON {S.plain_pinyin('query')} = {S.plain_pinyin('pinyin')} WHERE NOT {S.has_han('query')} AND {S.plain_pinyin('query')} <> '') SELECT query, pos, true AS typed FROM px")
+_TYPED_AS = S.compact("query")
+
+
+@query(
+    f"""WITH {S.CORPUS}, {S.ASKED}, px AS (SELECT query, pos FROM asked JOIN corpus ON {S.plain_pinyin('query')} = {S.plain_pinyin('pinyin')} WHERE NOT {S.has_han('query')} AND {S.plain_pinyin('query')} <> ''
+  UNION SELECT query, pos FROM asked JOIN corpus ON trim(query) IN (chengyu, simplified, traditional)),
+pairs AS (SELECT query, pos FROM px UNION SELECT query, pos + 1 FROM px)
+SELECT query, pos, {_TYPED_AS} <> '' AND ({_TYPED_AS} IN ({S.compact('coalesce(simplified, chengyu)')}, {S.compact('coalesce(traditional, chengyu)')}, {S.compact('chengyu')})
+ OR (replace({S.plain_pinyin('pinyin')}, ' ', '') <> '' AND replace({S.plain_pinyin('pinyin')}, ' ', '') = replace({S.plain_pinyin('query')}, ' ', ''))) AS typed FROM pairs JOIN corpus USING (pos)"""
+)
 def typed_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact readings of the log, tested again as typed letter for letter."""
-    e = corpus(spark, sf_dir)
-    rows = L.exact_pinyin(e, log_queries(spark, sf_dir)).join(e, "pos")
+    """Exact readings and headwords of the log, and the entries after them, tested as typed letter for letter."""
+    e, q = corpus(spark, sf_dir), log_queries(spark, sf_dir)
+    met = L.exact_pinyin(e, q).unionByName(L.exact_headwords(e, q)).distinct()
+    rows = met.unionByName(met.withColumn("pos", F.col("pos") + 1)).distinct().join(e, "pos")
     return rows.select("query", "pos", M.typed_exactly(F.col("query"), F.coalesce("simplified", "chengyu"), F.coalesce("traditional", "chengyu"), F.col("chengyu"), F.col("pinyin")).alias("typed"))

@@ -171,14 +171,28 @@ def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.TokenIndex(corpus(spark, sf_dir)).idf.withColumn("idf", F.round("idf", 9))
 
 
-def _scored_sql(tail: str) -> str:
-    """Every pair of query and entry with its score, straight from the definition of the signals."""
-    w = L.TokenWeights()
+_LEXICAL = f"CASE WHEN {S.has_han('query')} OR len({_EXPANSION}) = 0 THEN trim(query) ELSE trim(query) || ' ' || array_to_string({_EXPANSION}, ' ') END"
+
+
+def scored_ctes(by_type: bool = False) -> str:
+    """Common tables up to ``s``: every pair of query and entry with its score, straight from the definition of the signals.
+
+    With ``by_type`` the lexical form of queries is scored, under the weights of their type.
+    """
+    base = L.TokenWeights()
+
+    class W:
+        def __getattr__(self, name: str) -> str:
+            cases = "".join(f" WHEN '{t}' THEN {more[name]}" for t, more in L.WEIGHTS_BY_TYPE.items() if by_type and name in more)
+            return f"CASE q_.t{cases} ELSE {getattr(base, name)} END" if cases else str(getattr(base, name))
+
+    w = W()
+    lexed = f"lexed AS (SELECT query, {_LEXICAL} AS lex, {S.query_type('query')} AS t FROM asked, syl WHERE trim(query) <> '' AND length(query) <= 500)" if by_type else "lexed AS (SELECT query, query AS lex, '' AS t FROM asked)"
     n = "len(qt)"
     hits = lambda xs, ys: f"len(list_filter({xs}, lambda t: list_contains({ys}, t)))"
-    return f"""WITH {S.CORPUS}, {S.ASKED}, {_FEATS},
+    return f"""{S.CORPUS}, {S.ASKED}, {_SYL}, {_FEATS}, {lexed},
 q AS (SELECT *, list_distinct(qt) AS qs, {S.grams('qt', 2)} AS q2, {S.grams('qt', 3)} AS q3,
-  list_filter(qt, lambda t: NOT list_contains(['feel', 'think', 'thing', 'make', 'becom', 'be', 'state', 'kind'], t)) AS rest FROM (SELECT query, {S.tokens('query')} AS qt FROM asked WHERE NOT {S.has_han('query')}) WHERE len(qt) > 0),
+  list_filter(qt, lambda t: NOT list_contains(['feel', 'think', 'thing', 'make', 'becom', 'be', 'state', 'kind'], t)) AS rest FROM (SELECT query, lex, t, {S.tokens('lex')} AS qt FROM lexed WHERE NOT {S.has_han('query')}) WHERE len(qt) > 0),
 q_ AS (SELECT *, CASE WHEN {n} <= 2 THEN qt WHEN len(rest) >= 2 THEN rest ELSE qt[-2:] END AS qf FROM q),
 d AS (SELECT *, list_distinct(ct) AS cs, list_distinct({S.grams('lt', 2)}) AS l2, list_distinct({S.grams('ft', 2)}) AS f2, list_distinct({S.grams('ft', 3)}) AS f3 FROM feats),
 qtok AS (SELECT query, token, count(*) AS qf FROM (SELECT query, unnest(qt) AS token FROM q_) GROUP BY ALL),
@@ -189,14 +203,17 @@ s AS (SELECT q_.query, d.pos, round(
   {hits('qt', 'mt')} * {w.meaning} + {hits('qt', 'lt')} * {w.literal} + {hits('qt', 'et')} * {w.example} + {hits('qt', 'tt')} * {w.tag}
   + {hits('qs', 'lt')} / {n} * {w.literal_overlap} + CASE WHEN len(q2) > 0 THEN {hits('q2', 'l2')} / len(q2) * {w.literal_bigram} ELSE 0 END
   + CASE WHEN len(q2) > 0 THEN ({hits('q2', 'f2')} + {hits('q3', 'f3')}) / (len(q2) + len(q3)) * {w.multi_gram} ELSE 0 END
-  + CASE WHEN contains(lx, lower(q_.query)) THEN {w.literal_phrase} ELSE 0 END
+  + CASE WHEN contains(lx, lower(q_.lex)) THEN {w.literal_phrase} ELSE 0 END
   + coalesce(log_tf, 0) * {w.concept_tf} + {hits('qs', 'cs')} / {n} * {w.concept_overlap}
   + coalesce(shared / (qm.mass + dm.mass - shared), 0) * {w.jaccard} + {hits('qf', 'cs')} / len(qf) * {w.focused}
   + list_sum(list_transform(qt, lambda t: CASE WHEN list_contains(cs, t) OR length(t) < 4 THEN 0.0
       WHEN len(list_filter(cs, lambda v: length(v) >= 4 AND (starts_with(v, t) OR starts_with(t, v)))) > 0 THEN {w.fuzzy_prefix}
       WHEN len(list_filter(cs, lambda v: contains(v, t) OR contains(t, v))) > 0 THEN {w.fuzzy_contains} ELSE 0.0 END)), 9) AS score
-  FROM q_ CROSS JOIN d JOIN qm ON qm.query = q_.query LEFT JOIN dm ON dm.pos = d.pos LEFT JOIN inter ON inter.query = q_.query AND inter.pos = d.pos)
-{tail}"""
+  , q_.t FROM q_ CROSS JOIN d JOIN qm ON qm.query = q_.query LEFT JOIN dm ON dm.pos = d.pos LEFT JOIN inter ON inter.query = q_.query AND inter.pos = d.pos)"""
+
+
+def _scored_sql(tail: str) -> str:
+    return f"WITH {scored_ctes()}\n{tail}"
 
 
 @query(_scored_sql("SELECT query, pos, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, pos) AS rank FROM s QUALIFY rank <= 20"))

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,10 +14,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
     It is ``spark.checkpoint.dir`` where the session names one.  Only where it
-    is unset, as in tests on one machine, a temporary folder is made and set.
+    is unset and everything runs on one machine, as in tests, a temporary folder
+    is made and set; a cluster must name a folder that its executors share.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="hybridrank-")
         spark.conf.set("spark.checkpoint.dir", set_to)
         _remove_at_exit(spark, set_to)
@@ -74,11 +77,31 @@ def small_side(df: DataFrame, most: int = 50_000) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``most`` rows.
 
     The count stops at ``most + 1`` rows.  A larger side comes back without a
-    hint, and the join shuffles.
+    hint, and the join shuffles.  For joins on equal keys only: any other join
+    would then compare all pairs.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``df`` with the place of every row in the whole order, from 1.
+
+    Rows are sorted by ranges and numbered where they are; only the size of
+    every partition reaches the driver.  ``order`` should tell all rows apart.
+    """
+    spark = df.sparkSession
+    low = (1 << 33) - 1  # what monotonically_increasing_id leaves to a partition
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    rows = Scratch(spark, "numbered").keep(sorted_, "rows")
+    part, before, offsets = F.shiftright("__id", 33), 0, []
+    for r in rows.groupBy(part.alias("p")).count().orderBy("p").collect():
+        offsets.append((r["p"], before))
+        before += r["count"]
+    known = F.broadcast(spark.createDataFrame(offsets, "__p long, __before long"))
+    place = F.col("__id").bitwiseAND(F.lit(low)) + F.col("__before") + 1
+    return rows.join(known, part == F.col("__p")).withColumn(out, place).drop("__id", "__p", "__before")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test or production table by name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -64,3 +64,17 @@ def migrated(saved: DataFrame, aliases: DataFrame) -> DataFrame:
     rows = saved.join(aliases.select(F.col("old").alias("id"), "new"), "id", "left").select("n", F.coalesce("new", "id").alias("id"), F.col("new").isNotNull().alias("moved"))
     order = Window.partitionBy("id").orderBy("moved", F.when(F.col("moved"), -F.col("n")).otherwise(F.col("n")))
     return rows.withColumn("r", F.row_number().over(order)).where("r = 1").select("id", "n", "moved")
+
+
+def refreshed(saved: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``(n, id)``: the present entry of every saved record, null where there is none.
+
+    A record with an identifier is found by it or not at all.  One without is
+    found by headword and reading (a blank reading fits any), if that names a
+    single entry.  ``saved`` holds ``n, id, chengyu, pinyin``.
+    """
+    ids = corpus.select("id", F.col("id").alias("by_id")).distinct()
+    named = lambda keys: corpus.groupBy(*keys).agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("found")).where("many = 1").drop("many")
+    blank = F.coalesce(F.trim("pinyin"), F.lit("")) == ""
+    rows = saved.join(ids, "id", "left").join(named(["chengyu", "pinyin"]).withColumnRenamed("found", "by_reading"), ["chengyu", "pinyin"], "left").join(named(["chengyu"]).withColumnRenamed("found", "by_head"), "chengyu", "left")
+    return rows.select("n", F.when(F.col("id").isNotNull(), F.col("by_id")).when(blank, F.col("by_head")).otherwise(F.col("by_reading")).alias("id"))
