@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hybridrank.functions import vectors as V
+from hybridrank.functions.text import normalized
 from hybridrank.operators import experiments as N
 from hybridrank.operators import fusion as G
 from hybridrank.operators import lexical as L
@@ -145,10 +146,10 @@ def han_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.han_normalized(log_queries(spark, sf_dir), W.headword_aliases(corpus(spark, sf_dir)), convert)
 
 
-@query(f"WITH {S.CORPUS} SELECT pos, row_number() OVER (ORDER BY chengyu COLLATE zh, pos) AS place FROM corpus WHERE chengyu IS NOT NULL")
+@query(f"WITH {S.CORPUS} SELECT pos, row_number() OVER (ORDER BY nfc_normalize(chengyu) COLLATE zh, pos) AS place FROM corpus WHERE chengyu IS NOT NULL")
 def collated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of every entry in the order of Chinese collation."""
-    e = corpus(spark, sf_dir).where("chengyu is not null").select("pos", F.collate("chengyu", "zh_Hans").alias("head"))
+    """The place of every entry in the order of Chinese collation; canonically equal headwords are equal."""
+    e = corpus(spark, sf_dir).where("chengyu is not null").select("pos", F.collate(normalized(F.col("chengyu"), "NFC"), "zh_Hans").alias("head"))
     return numbered(e, [F.col("head"), F.col("pos")], "place").select("pos", "place")
 
 
