@@ -248,7 +248,7 @@ def route_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.route_signals(corpus(spark, sf_dir), log_queries(spark, sf_dir)).drop("tokens", "content")
 
 
-@query(
+ROUTED = (
     _SIGNALS
     + """ SELECT query, query_type, CASE
  WHEN query_type = 'partial' AND len(tk) = 1 THEN CASE WHEN meaning_hits >= 40 THEN 'keyword' WHEN literal_hits >= 55 OR meaning_hits + literal_hits + example_hits + tag_hits >= 80 THEN 'hybrid' WHEN literal_hits >= 40 AND meaning_hits <= 10 THEN 'semantic' ELSE 'keyword' END
@@ -258,6 +258,9 @@ def route_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
  WHEN query_type IN ('english_meaning', 'literal', 'thematic') AND list_contains(tk, 'what') AND list_contains(tk, 'you') AND len(ck) <= 2 THEN 'hybrid'
  WHEN query_type IN ('english_meaning', 'literal', 'thematic') THEN 'semantic' ELSE 'hybrid' END AS mode FROM sig"""
 )
+
+
+@query(ROUTED)
 def route_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = log_queries(spark, sf_dir)
     types = q.select("query", Q.query_type(F.col("query"), known_syllables(spark, sf_dir)).alias("query_type"))
