@@ -89,6 +89,35 @@ def variants_of(asked: DataFrame, cluster: DataFrame, tied: DataFrame, common: D
     return rows.groupBy("headword").agg(listed.alias("variants"))
 
 
+def display_entries(rows: DataFrame, cluster: DataFrame, preferred: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``(query, pos, shown)``: the entry to show for each result, the first sense of its family's preferred form.
+
+    An entry stays as it is outside families, where it is the preferred form,
+    where the query is typed exactly as it, and where no entry has that form.
+    ``rows`` holds ``query, pos``, ``preferred`` comes from ``preferred_forms``.
+    """
+    head = F.coalesce(F.nullif(F.trim("simplified"), F.lit("")), F.col("chengyu"))
+    named = corpus.withColumn("headword", F.trim(head))
+    first = named.groupBy("headword").agg(F.min("pos").alias("swap")).withColumnRenamed("headword", "preferred")
+    met = rows.select("query", "pos").join(named, "pos").join(cluster, "headword", "left").join(preferred, "cluster", "left").join(first, "preferred", "left")
+    own = typed_exactly(F.col("query"), F.coalesce("simplified", "chengyu"), F.coalesce("traditional", "chengyu"), F.col("chengyu"), F.col("pinyin"))
+    stays = own | F.col("preferred").isNull() | (F.col("preferred") == F.col("headword")) | F.col("swap").isNull()
+    return met.select("query", "pos", F.when(F.coalesce(stays, F.lit(True)), F.col("pos")).otherwise(F.col("swap")).alias("shown"))
+
+
+def variant_groups(related: DataFrame, cluster: DataFrame, common: DataFrame) -> DataFrame:
+    """``(headword, other, kind)``: related forms by how they are shown.
+
+    Forms of the same idiom are ``same``; of those one full form away only the
+    common one is listed, as ``full`` if it is longer than the headword, else
+    ``short``.  ``related`` comes from ``related_of``.
+    """
+    usual = cluster.join(common.select("cluster", "common"), "cluster").select(F.col("headword").alias("other"), (F.col("headword") == F.col("common")).alias("usual"))
+    rows = related.join(usual, "other", "left").where("relation <> 'full_form' or coalesce(usual, true)")
+    kind = F.when(F.col("relation") != "full_form", "same").when(F.length("other") > F.length("headword"), "full").otherwise("short")
+    return rows.select("headword", "other", kind.alias("kind"))
+
+
 def collapse(ranked: DataFrame, cluster: DataFrame, tied: DataFrame) -> DataFrame:
     """``ranked`` without rows related to a row that is kept before them.
 

@@ -219,3 +219,34 @@ def routed(signals: DataFrame, types: DataFrame) -> DataFrame:
     """``(query, query_type, mode)`` from the signals and the type of each query."""
     s = {c: F.col(c) for c in signals.columns if c.endswith("_hits")}
     return signals.join(types.select("query", "query_type").distinct(), "query").select("query", "query_type", preferred_mode(F.col("query_type"), F.col("tokens"), F.col("content"), s).alias("mode"))
+
+
+def described(queries: DataFrame, corpus: DataFrame, normalized: DataFrame) -> DataFrame:
+    """``(query, described)``: whether a query describes a meaning, and is not a lookup.
+
+    Blank queries, readings and exact headwords are lookups; so is a Han query
+    whose normalized form (``query, normalized``) is a headword or at most four
+    characters long.  ``queries`` holds ``query, query_type``.
+    """
+    rows = queries.select("query", "query_type").distinct().join(normalized, "query", "left")
+    forms = exact_headwords(corpus, queries).select("query").distinct().withColumn("exact", F.lit(True))
+    again = exact_headwords(corpus, normalized, "normalized").select(F.col("query").alias("normalized")).distinct().withColumn("exact_again", F.lit(True))
+    rows = rows.join(forms, "query", "left").join(again, "normalized", "left")
+    han = has_unified_han(F.col("query"))
+    lookup = (F.trim("query") == "") | (F.col("query_type") == "pinyin") | F.coalesce("exact", F.lit(False)) | (han & (F.coalesce("exact_again", F.lit(False)) | (F.length(F.coalesce("normalized", "query")) <= 4)))
+    return rows.select("query", (~lookup).alias("described"))
+
+
+def hosted_status(asked: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(query, status, path)`` of each query of ``asked`` (``query, described``).
+
+    A description with a vector in ``vectors`` (``query, reason``; a null reason
+    means the vector is there) is complete by meaning; one that still waits is
+    pending; one whose vector cannot be had falls back to the routed search, and
+    is unavailable where that is in Han script, which no token search answers.
+    """
+    rows = asked.join(vectors.select("query", "reason", F.lit(True).alias("tried")), "query", "left")
+    ready, waits = F.col("tried") & F.col("reason").isNull(), F.coalesce(F.col("reason") == "timeout", F.lit(False))
+    status = F.when(~F.col("described") | F.coalesce(ready, F.lit(False)), "complete").when(waits, "pending").when(has_unified_han(F.col("query")), "unavailable").otherwise("complete")
+    path = F.when(~F.col("described"), "routed").when(F.coalesce(ready, F.lit(False)), "meaning").when(status == "complete", "fallback")
+    return rows.select("query", status.alias("status"), path.alias("path"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hybridrank.functions import query as Q
 from hybridrank.functions import vectors as V
 from hybridrank.functions.text import normalized
 from hybridrank.operators import experiments as N
@@ -16,7 +17,7 @@ from hybridrank.operators.fusion import BLEND_BY_TYPE
 from hybridrank.plans import search as P
 from hybridrank.plans import sql as S
 from hybridrank.plans.catalogue import query
-from hybridrank.plans.text_queries import _scored_sql, corpus, known_syllables, log_queries, scored_ctes
+from hybridrank.plans.text_queries import _SYL, _scored_sql, corpus, known_syllables, log_queries, scored_ctes
 from hybridrank.runtime import numbered, table
 from hybridrank.sources import export as X
 from hybridrank.sources import validate as C
@@ -127,7 +128,7 @@ def headword_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ONCE = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda c: coalesce(m[c], c)), '')"
 
 
-@query(
+_NORMAL = (
     f"""WITH {S.CORPUS}, {S.ASKED}, d AS (SELECT DISTINCT entry_no, traditional, simplified FROM cedict WHERE length(traditional) = length(simplified)),
 p AS (SELECT entry_no, i, substr(traditional, i, 1) AS t, substr(simplified, i, 1) AS s FROM d, unnest(range(1, length(traditional) + 1)) u(i)),
 v AS (SELECT t, s FROM (SELECT t, s, count(*) AS votes, min(entry_no * 1000 + i) AS seen FROM p GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY t ORDER BY votes DESC, seen) = 1),
@@ -136,6 +137,9 @@ f AS (SELECT coalesce(nullif(trim(simplified, ' '), ''), chengyu) AS headword, u
 al AS (SELECT alias, min(headword) AS headword FROM f GROUP BY alias HAVING min(headword) = max(headword))
 SELECT query, coalesce(headword, {_ONCE(_ONCE(_ONCE("trim(query, ' ')")))}) AS normalized FROM rules, asked LEFT JOIN al ON alias = trim(query, ' ') WHERE {S.has_han('query')}"""
 )
+
+
+@query(_NORMAL)
 def han_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Han queries of the log as headwords, else in simplified characters by the dictionary's majority.
 
@@ -173,3 +177,15 @@ def bookmark_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_id = H.once(table(spark, sf_dir, "request_log")).where("top_id is not null").select(F.col("request_no").alias("n"), F.col("top_id").alias("id"), none.alias("chengyu"), none.alias("pinyin"))
     by_name = e.select((-1 - F.col("pos")).alias("n"), none.alias("id"), "chengyu", F.when(F.col("formality").isNotNull(), F.col("pinyin")).alias("pinyin"))
     return C.refreshed(by_id.unionByName(by_name), e)
+
+
+@query(
+    f"""WITH {S.CORPUS}, {S.ASKED}, {_SYL}, n AS ({_NORMAL}), forms AS (SELECT unnest([chengyu, simplified, traditional]) AS form FROM corpus)
+SELECT a.query, NOT (trim(a.query) = '' OR {S.query_type('a.query')} = 'pinyin' OR trim(a.query) IN (SELECT form FROM forms WHERE form IS NOT NULL)
+ OR ({S.has_han('a.query')} AND (trim(normalized) IN (SELECT form FROM forms WHERE form IS NOT NULL) OR length(normalized) <= 4))) AS described FROM syl, asked a LEFT JOIN n ON n.query = a.query"""
+)
+def described_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which queries of the log describe a meaning."""
+    q = log_queries(spark, sf_dir)
+    typed = q.select("query", Q.query_type(F.col("query"), known_syllables(spark, sf_dir)).alias("query_type"))
+    return L.described(typed, corpus(spark, sf_dir), han_normalized(spark, sf_dir))

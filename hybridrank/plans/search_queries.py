@@ -245,3 +245,38 @@ def typed_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = L.exact_pinyin(e, q).unionByName(L.exact_headwords(e, q)).distinct()
     rows = met.unionByName(met.withColumn("pos", F.col("pos") + 1)).distinct().join(e, "pos")
     return rows.select("query", "pos", M.typed_exactly(F.col("query"), F.coalesce("simplified", "chengyu"), F.coalesce("traditional", "chengyu"), F.col("chengyu"), F.col("pinyin")).alias("typed"))
+
+
+_COMMON = """seen AS (SELECT headword, min(n) AS seen FROM (SELECT a AS headword, link_no * 2 AS n FROM links UNION ALL SELECT b, link_no * 2 + 1 FROM links) GROUP BY headword),
+v AS (SELECT headword, sum(v) AS votes FROM (SELECT a AS headword, CASE common WHEN 'a' THEN 1 ELSE -1 END AS v FROM links WHERE relation = 'same' AND common IN ('a', 'b') UNION ALL SELECT b, CASE common WHEN 'b' THEN 1 ELSE -1 END FROM links WHERE relation = 'same' AND common IN ('a', 'b')) GROUP BY headword),
+common_ AS (SELECT cluster, headword AS common FROM cl JOIN seen USING (headword) LEFT JOIN v USING (headword) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY coalesce(votes, 0) DESC, seen, headword) = 1)"""
+_HEAD = "trim(coalesce(nullif(trim(simplified, ' '), ''), chengyu), ' ')"
+
+
+@query(
+    f"""WITH RECURSIVE {_LINKS}, {S.CORPUS}, {S.ASKED}, {_COMMON}, named AS (SELECT *, {_HEAD} AS headword FROM corpus), firsts AS (SELECT headword AS common, min(pos) AS swap FROM named GROUP BY 1),
+found AS (SELECT DISTINCT query, pos FROM asked JOIN corpus ON trim(query) IN (chengyu, simplified, traditional)), pairs AS (SELECT query, pos FROM found UNION SELECT query, pos + 1 FROM found)
+SELECT query, pos, CASE WHEN common IS NULL OR common = headword OR swap IS NULL OR ({_TYPED_AS} <> '' AND ({_TYPED_AS} IN ({S.compact('coalesce(simplified, chengyu)')}, {S.compact('coalesce(traditional, chengyu)')}, {S.compact('chengyu')})
+ OR (replace({S.plain_pinyin('pinyin')}, ' ', '') <> '' AND replace({S.plain_pinyin('pinyin')}, ' ', '') = replace({S.plain_pinyin('query')}, ' ', '')))) THEN pos ELSE swap END AS shown
+FROM pairs JOIN named USING (pos) LEFT JOIN cl USING (headword) LEFT JOIN common_ USING (cluster) LEFT JOIN firsts USING (common)"""
+)
+def display_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry shown for the headwords of the log and the entries after them."""
+    links = _links(spark, sf_dir)
+    c, e = M.clusters(links), corpus(spark, sf_dir)
+    preferred = M.common_forms(links, c).select("cluster", F.col("common").alias("preferred"))
+    met = L.exact_headwords(e, log_queries(spark, sf_dir))
+    return M.display_entries(met.unionByName(met.withColumn("pos", F.col("pos") + 1)).distinct(), c, preferred, e)
+
+
+@query(
+    f"""WITH RECURSIVE {_LINKS}, {S.CORPUS}, {_COMMON}, ask AS (SELECT DISTINCT trim(chengyu, ' ') AS headword FROM corpus WHERE pos % 100 = 0)
+SELECT headword, o.headword AS other, 'same' AS kind FROM ask JOIN cl m USING (headword) JOIN cl o ON o.cluster = m.cluster AND o.headword <> m.headword
+UNION ALL SELECT ask.headword, k.common, CASE WHEN length(k.common) > length(ask.headword) THEN 'full' ELSE 'short' END FROM ask JOIN cl m USING (headword) JOIN tied t ON t.cluster = m.cluster JOIN common_ k ON k.cluster = t.other"""
+)
+def variant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the relatives of every entry whose position is divisible by 100 are shown."""
+    links = _links(spark, sf_dir)
+    c = M.clusters(links)
+    asked = corpus(spark, sf_dir).where("pos % 100 = 0").select(F.trim("chengyu").alias("headword"))
+    return M.variant_groups(M.related_of(asked, c, M.cluster_links(links, c)), c, M.common_forms(links, c))

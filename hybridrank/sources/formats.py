@@ -21,14 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-MAGIC = b"PACKED_VECTORS_V1\n"
+#: Fixed value: the line that packed files begin with.
+MAGIC = b"CHENGYU_EMBEDDINGS_BIN_V1\n"
 ROWS_PER_PARTITION = 50_000
 
 
-def _header(path: str) -> tuple[dict, int]:
+def _header(path: str, magic: bytes = MAGIC) -> tuple[dict, int]:
     with open(path, "rb") as f:
-        if not f.readline(80).endswith(b"\n"):
-            raise ValueError(f"{path}: no magic line")
+        if f.read(len(magic)) != magic:
+            raise ValueError(f"{path}: not a packed file of vectors")
         (n,) = struct.unpack("<I", f.read(4))
         raw = f.read(n)
         if len(raw) != n:
@@ -48,13 +49,14 @@ class _Rows(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
+    def __init__(self, path: str, magic: bytes = MAGIC):
+        self.magic = magic
         self.files = sorted(str(p) for p in Path(path).rglob("*.vec")) if os.path.isdir(path) else [path]
 
     def partitions(self) -> list[InputPartition]:
         out = []
         for file in self.files:
-            meta, at = _header(file)
+            meta, at = _header(file, self.magic)
             kind, stride = _stride(meta)
             n = len(meta["entries"])
             if os.path.getsize(file) != at + n * stride:
@@ -71,7 +73,7 @@ class _Reader(DataSourceReader):
         return out
 
     def read(self, part: _Rows) -> Iterator[tuple]:
-        meta, at = _header(part.path)
+        meta, at = _header(part.path, self.magic)
         kind, stride = _stride(meta)
         with open(part.path, "rb") as f:
             f.seek(at + part.first * stride)
@@ -117,7 +119,7 @@ class _Writer(DataSourceWriter):
 
 
 class PackedVectors(DataSource):
-    """``format("packed_vectors")`` with the options ``path``, and for writing ``kind`` (``f32`` or ``i8``) and ``magic``."""
+    """``format("packed_vectors")`` with the options ``path``, ``magic``, and for writing ``kind`` (``f32`` or ``i8``)."""
 
     @classmethod
     def name(cls) -> str:
@@ -127,10 +129,13 @@ class PackedVectors(DataSource):
         return "row long, id string, chengyu string, vec array<float>, scale float"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self._magic())
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], self.options.get("kind", "f32"), self.options["magic"].encode() if "magic" in self.options else MAGIC)
+        return _Writer(self.options["path"], self.options.get("kind", "f32"), self._magic())
+
+    def _magic(self) -> bytes:
+        return self.options["magic"].encode() if "magic" in self.options else MAGIC
 
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
@@ -154,9 +159,13 @@ def read_artifact(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return whole.drop("embeddings"), whole.select(F.explode("embeddings").alias("e")).select("e.id", "e.chengyu", F.col("e.embedding").alias("vec"))
 
 
+#: Fixed value: the form of a dictionary line.
+DICTIONARY_LINE = r"^(\S+) (\S+) \[([^\]]+)\] /(.+)/\r?$"
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """``(traditional, simplified, pinyin, definitions)`` of the well-formed lines of dictionary text files, plain or gzipped."""
-    form = r"^(\S+) (\S+) \[([^\]]+)\] /(.+)/\r?$"
+    form = DICTIONARY_LINE
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & F.col("value").rlike(form))
     part = lambda i: F.regexp_extract("value", form, i)
     return lines.select(part(1).alias("traditional"), part(2).alias("simplified"), F.replace(part(3), F.lit("u:"), F.lit("ü")).alias("pinyin"), F.filter(F.split(part(4), "/"), lambda d: d != "").alias("definitions"))

@@ -7,7 +7,7 @@ between micro-batches.  Both run the same step.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -25,6 +25,10 @@ class FixedWindow:
     state = "opened double, used int"
     out = "admitted boolean, retry_after int"
 
+    def lasts(self) -> float | None:
+        """For how many seconds without an event the state matters; None: for ever."""
+        return self.seconds
+
     def step(self, s: tuple | None, at: float, ok: bool) -> tuple[tuple, tuple]:
         if s is None or s[0] + self.seconds <= at:
             s = (at, 0)
@@ -43,6 +47,9 @@ class TokenBucket:
     state = "tokens double, at double"
     out = "admitted boolean, retry_after int"
 
+    def lasts(self) -> float | None:
+        return self.burst * 86400 / self.per_day
+
     def step(self, s: tuple | None, at: float, ok: bool) -> tuple[tuple, tuple]:
         rate = self.per_day / 86400
         tokens = self.burst if s is None else min(self.burst, s[0] + max(0.0, at - s[1]) * rate)
@@ -61,6 +68,9 @@ class Breaker:
     state = "failed int, open_until double"
     out = "admitted boolean, retry_after int"
 
+    def lasts(self) -> float | None:
+        return None  # failures are counted until a success
+
     def step(self, s: tuple | None, at: float, ok: bool) -> tuple[tuple, tuple]:
         failed, until = s or (0, 0.0)
         if failed >= self.failures and at < until:
@@ -78,30 +88,41 @@ def decide(events: DataFrame, rule: Rule, keys: list[str], at: str, key: str, ok
 
     ``at`` is a timestamp, ``key`` identifies an event and breaks ties, ``ok``
     says whether the event itself succeeded.  Events without a time are left
-    out.  A key's events are walked in one task, as their order demands; they
-    carry three short columns only.
+    out.  A rule decides every event by those before it, so the events of one
+    key are walked in order; they come sorted, in batches, and what is held of
+    them is the state alone, however many there are.
     """
     types = dict(events.dtypes)
     rows = events.where(F.col(at).isNotNull()).select(*keys, F.col(key), (F.unix_micros(at) / 1e6).alias("__at"), (F.col(ok) if ok else F.lit(True)).alias("__ok"))
     schema = ", ".join([*[f"{c} {types[c]}" for c in keys], f"{key} {types[key]}", rule.out])
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__at", key], kind="stable")
-        state, out = None, []
-        for t, good in zip(pdf["__at"], pdf["__ok"]):
-            state, said = rule.step(state, float(t), bool(good))
-            out.append(said)
-        return pd.concat([pdf[[*keys, key]].reset_index(drop=True), pd.DataFrame(out, columns=["admitted", "retry_after"])], axis=1)
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, state = None, None
+        for pdf in frames:
+            out = []
+            # Missing keys come as unequal to themselves; as None they are one key.
+            owners = pdf[keys].astype(object).where(pdf[keys].notna(), None).itertuples(index=False, name=None)
+            for owner, t, good in zip(owners, pdf["__at"], pdf["__ok"]):
+                if owner != before:
+                    before, state = owner, None
+                state, said = rule.step(state, float(t), bool(good))
+                out.append(said)
+            yield pd.concat([pdf[[*keys, key]].reset_index(drop=True), pd.DataFrame(out, columns=["admitted", "retry_after"])], axis=1)
 
-    return rows.groupBy(*keys).applyInPandas(walk, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "__at", key).mapInPandas(walk, schema)
 
 
 def decide_stream(events: DataFrame, rule: Rule, keys: list[str], at: str, key: str, ok: str | None = None, idle: str = "1 hour") -> DataFrame:
-    """The streaming twin of ``decide``: the state of a key is kept between batches and dropped after ``idle``."""
+    """The streaming twin of ``decide``: the state of a key is kept between batches.
+
+    It is dropped when the key is idle for ``idle``, but not before it says
+    nothing any more; a rule whose state never expires keeps it.
+    """
     types = dict(events.dtypes)
     rows = events.where(F.col(at).isNotNull()).select(*keys, F.col(key), (F.unix_micros(at) / 1e6).alias("__at"), (F.col(ok) if ok else F.lit(True)).alias("__ok"))
     schema = ", ".join([*[f"{c} {types[c]}" for c in keys], f"{key} {types[key]}", rule.out])
-    millis = int(pd.Timedelta(idle).total_seconds() * 1000)
+    lasts = rule.lasts()
+    millis = int(max(pd.Timedelta(idle).total_seconds(), lasts or 0) * 1000)
 
     def walk(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -113,14 +134,15 @@ def decide_stream(events: DataFrame, rule: Rule, keys: list[str], at: str, key:
             s, said = rule.step(s, float(t), bool(good))
             out.append(said)
         state.update(s)
-        state.setTimeoutDuration(millis)
+        if lasts is not None:
+            state.setTimeoutDuration(millis)
         yield pd.concat([pdf[[*keys, key]].reset_index(drop=True), pd.DataFrame(out, columns=["admitted", "retry_after"])], axis=1)
 
     return rows.groupBy(*keys).applyInPandasWithState(walk, schema, rule.state, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def daily_ledger(events: DataFrame, at: str, amount: str, cap: float) -> DataFrame:
-    """``(day, spent, before, within)``: what each UTC day spent, all before it, and whether it stayed below the cap."""
+    """``(day, spent, within)``: what each UTC day spent, and whether it stayed within the cap."""
     day = events.where(F.col(at).isNotNull()).groupBy(F.to_date(at).alias("day")).agg(F.round(F.sum(amount), 3).alias("spent"))
     return day.withColumn("within", F.coalesce("spent", F.lit(0.0)) <= cap)
 
@@ -134,5 +156,3 @@ def deduplicated_stream(requests: DataFrame, key: str, at: str, late: str = "10
     """Every request once, as long as its repeats come within the bound on lateness."""
     return requests.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
-
-StepFunction = Callable[[tuple | None, float, bool], tuple[tuple, tuple]]
