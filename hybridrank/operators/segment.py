@@ -4,29 +4,40 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The largest dictionary, in words, that tasks hold in memory.
+#: The largest dictionary, in words, that tasks hold in memory; a larger one is refused, never cut.
 MOST_WORDS = 2_000_000
 _HAN = re.compile("[㐀-鿿]")
 
 
-def best_path(text: str, entries: dict[str, int], idioms: frozenset[str], longest: int) -> list[tuple[str, str]]:
+def reaches(words: Iterable[str]) -> dict[str, int]:
+    """The length of the longest word by the two characters it begins with, so that one long word slows only texts with its beginning."""
+    out: dict[str, int] = {}
+    for w in words:
+        out[w[:2]] = max(out.get(w[:2], 1), len(w))
+    return out
+
+
+def best_path(text: str, entries: dict[str, int], idioms: frozenset[str], longest: int, reach: dict[str, int] | None = None) -> list[tuple[str, str]]:
     """``(token, kind)`` of the best cut; kinds are word, uncovered and other.
 
+    ``longest`` is the length of the longest word, ``reach`` what ``reaches`` says of the words.
+
     A word scores twice its length, 10 more if it is an idiom, 1 less if it is
     a single character, and less the more entries it has; an unknown Han
     character costs 2.  Of equal cuts the one with the longest last word stays.
     """
     n = len(text)
     score, back = [0.0] + [-math.inf] * n, [(0, "")] * (n + 1)
-    for i in range(1, n + 1):
-        for j in range(max(0, i - longest), i):
+    for j in range(n):
+        far = longest if reach is None else max(1, reach.get(text[j : j + 2], 1))
+        for i in range(j + 1, min(n, j + far) + 1):
             word = text[j:i]
             many = entries.get(word)
             if many:
@@ -87,9 +98,9 @@ def segmented(texts: DataFrame, key: str, text: str, dictionary: DataFrame, word
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = entries.value
-        longest = max(map(len, words), default=1)
+        longest, reach = max(map(len, words), default=1), reaches(words)
         for f in frames:
-            rows = [(k, i, t, kind) for k, body in zip(f["key"], f["text"]) if body for i, (t, kind) in enumerate(best_path(body, words, special.value, longest), 1)]
+            rows = [(k, i, t, kind) for k, body in zip(f["key"], f["text"]) if body for i, (t, kind) in enumerate(best_path(body, words, special.value, longest, reach), 1)]
             yield pd.DataFrame(rows, columns=["key", "n", "token", "kind"])
 
     return texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(cut, f"key {key_type}, n int, token string, kind string")
@@ -111,6 +122,7 @@ def best_entries(dictionary: DataFrame) -> DataFrame:
 
     ``dictionary`` holds ``entry_no, simplified, pinyin`` and ``definitions`` as an array.
     """
+    # The patterns and what each takes off.
     text = F.array_join("definitions", " ")
     hit = lambda pattern, malus: F.when(text.rlike(pattern), F.lit(-malus)).otherwise(0.0)
     score = (

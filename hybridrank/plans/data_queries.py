@@ -52,7 +52,28 @@ def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.clean.select("line_no", "traditional", "simplified", "pinyin", F.array_join("definitions", "/").alias("definitions"))
 
 
-@query()
+_REASONS = _CHECKED.rstrip() + r""", cells AS (SELECT line_no, shaped, m.t AS t, m.s AS s, string_split(m.p, ' ') AS items, string_split(m.d, '/') AS defs, m.d AS d FROM parts),
+word AS (SELECT '[\x{4e00}-\x{9fff}A-Za-z0-9，·]+' AS w),
+faults AS (
+  SELECT line_no, 'line' AS "column", 0 AS position, 'not of the form: traditional simplified [pinyin] /definitions/' AS reason FROM cells WHERE NOT shaped
+  UNION ALL SELECT line_no, 'traditional', 0, 'a character that headwords may not hold' FROM cells, word WHERE shaped AND NOT regexp_full_match(t, w)
+  UNION ALL SELECT line_no, 'simplified', 0, 'a character that headwords may not hold' FROM cells, word WHERE shaped AND NOT regexp_full_match(s, w)
+  UNION ALL SELECT line_no, 'simplified', 0, 'not as long as the traditional form' FROM cells WHERE shaped AND length(t) <> length(s)
+  UNION ALL SELECT line_no, 'pinyin', 0, 'not one pinyin item per character' FROM cells WHERE shaped AND len(items) <> length(t)
+  UNION ALL SELECT line_no, 'pinyin item', i::INT, 'pinyin item does not read its character' FROM cells, syl, unnest(range(1, least(len(items), length(t)) + 1)) u(i) WHERE shaped AND NOT
+    CASE WHEN regexp_full_match(substr(t, i, 1), '[\x{4e00}-\x{9fff}]') THEN regexp_full_match(items[i], '(?s).+[1-5]') AND list_contains(known, replace(lower(left(items[i], -1)), 'u:', 'ü'))
+         WHEN substr(t, i, 1) = '，' THEN items[i] = ',' ELSE items[i] = substr(t, i, 1) END
+  UNION ALL SELECT line_no, 'definitions', 0, 'no definition' FROM cells WHERE shaped AND NOT regexp_matches(d, '[^/\s]')
+  UNION ALL SELECT line_no, 'definition', i::INT, 'quote not closed' FROM cells, unnest(range(1, len(defs) + 1)) u(i) WHERE shaped AND length(regexp_replace(defs[i], '[^"]', '', 'g')) % 2 = 1
+  UNION ALL SELECT line_no, 'definition', i::INT, 'bracket not closed' FROM cells, unnest(range(1, len(defs) + 1)) u(i) WHERE shaped
+    AND regexp_replace(regexp_replace(regexp_replace(regexp_replace(defs[i], '[^()\[\]]', '', 'g'), '\(\)|\[\]', '', 'g'), '\(\)|\[\]', '', 'g'), '\(\)|\[\]', '', 'g') <> ''
+  UNION ALL SELECT line_no, 'definition', i::INT, 'another entry begins inside the line' FROM cells, unnest(range(1, len(defs) + 1)) u(i) WHERE shaped AND regexp_full_match(defs[i], '\s*[\x{4e00}-\x{9fff}A-Za-z0-9，·]+ [\x{4e00}-\x{9fff}A-Za-z0-9，·]+ \[[^\[\]]*\]\s*')
+    AND length(regexp_extract(defs[i], '\s*(\S+) (\S+) \[([^\[\]]*)\]', 1)) = length(regexp_extract(defs[i], '\s*(\S+) (\S+) \[([^\[\]]*)\]', 2))
+    AND len(string_split(regexp_extract(defs[i], '\s*(\S+) (\S+) \[([^\[\]]*)\]', 3), ' ')) = length(regexp_extract(defs[i], '\s*(\S+) (\S+) \[([^\[\]]*)\]', 1)))
+SELECT line_no, "column", position, reason FROM faults"""
+
+
+@query(_REASONS)
 def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rejected line with the reasons for its failure."""
     rejected = load_lines(table(spark, sf_dir, "cedict_lines"), table(spark, sf_dir, "pinyin_syllable")).rejected
