@@ -42,6 +42,8 @@ def clusters(links: DataFrame) -> DataFrame:
         now = met.join(jump, "mid").select("headword", F.least("mid", "far").alias("cluster"), "old")
         labels = scratch.keep(now, f"labels-{i}", changed=F.count_if(F.col("cluster") != F.col("old"))).drop("old")
         changed = scratch.facts["changed"]
+        if i > 1:
+            scratch.drop(f"labels-{i - 2}")
     return labels
 
 
