@@ -35,21 +35,25 @@ def best_path(text: str, entries: dict[str, int], idioms: frozenset[str], longes
     """
     n = len(text)
     score, back = [0.0] + [-math.inf] * n, [(0, "")] * (n + 1)
+    many_of, reach_of = entries.get, None if reach is None else reach.get
     for j in range(n):
-        far = longest if reach is None else max(1, reach.get(text[j : j + 2], 1))
-        for i in range(j + 1, min(n, j + far) + 1):
+        own, far = score[j], longest if reach_of is None else reach_of(text[j : j + 2], 1)
+        one = text[j]
+        many = many_of(one)
+        if many:
+            s, kind = own + 2 + (10 if one in idioms else 0) - 1 - math.log2(many), "word"
+        else:
+            han = "㐀" <= one <= "鿿"
+            s, kind = own - (2 if han else 0), "uncovered" if han else "other"
+        if s > score[j + 1]:
+            score[j + 1], back[j + 1] = s, (j, kind)
+        for i in range(j + 2, min(n, j + far) + 1):
             word = text[j:i]
-            many = entries.get(word)
+            many = many_of(word)
             if many:
-                s = score[j] + 2 * len(word) + (10 if word in idioms else 0) - (len(word) == 1) - math.log2(many)
-                kind = "word"
-            elif i == j + 1:
-                han = bool(_HAN.match(word))
-                s, kind = score[j] - (2 if han else 0), "uncovered" if han else "other"
-            else:
-                continue
-            if s > score[i]:
-                score[i], back[i] = s, (j, kind)
+                s = own + 2 * (i - j) + (10 if word in idioms else 0) - math.log2(many)
+                if s > score[i]:
+                    score[i], back[i] = s, (j, "word")
     out, i = [], n
     while i:
         j, kind = back[i]
@@ -83,25 +87,42 @@ def word_parts(text: str, words: frozenset[str]) -> list[str]:
 
 
 def _words(dictionary: DataFrame, word: str) -> dict[str, int]:
-    rows = dictionary.where(F.col(word).isNotNull()).groupBy(F.col(word).alias("w")).count().limit(MOST_WORDS + 1).collect()
-    if len(rows) > MOST_WORDS:
+    """How many entries each word has; it comes to the driver in columns, as a row object a word would not fit there."""
+    rows = dictionary.where(F.col(word).isNotNull()).groupBy(F.col(word).alias("w")).count().limit(MOST_WORDS + 1).toArrow()
+    if rows.num_rows > MOST_WORDS:
         raise ValueError(f"a dictionary of more than {MOST_WORDS} words does not fit into a task")
-    return {r["w"]: r["count"] for r in rows}
+    return dict(zip(rows["w"].to_pylist(), rows["count"].to_pylist()))
+
+
+#: Tokens that a task holds at once before it hands them on, whatever the texts of a batch come to.
+BLOCK_TOKENS = 20_000
+
+
+def _cut(frames: Iterator[pd.DataFrame], words: dict[str, int], idioms: frozenset[str]) -> Iterator[pd.DataFrame]:
+    longest, reach = max(map(len, words), default=1), reaches(words)
+    rows: list[tuple] = []
+    made = lambda: pd.DataFrame(rows, columns=["key", "n", "token", "kind"])
+    for f in frames:
+        for k, body in zip(f["key"], f["text"]):
+            for i, (t, kind) in enumerate(best_path(body, words, idioms, longest, reach) if body else (), 1):
+                rows.append((k, i, t, kind))
+                if len(rows) == BLOCK_TOKENS:
+                    yield made()
+                    rows.clear()
+    yield made()
 
 
 def segmented(texts: DataFrame, key: str, text: str, dictionary: DataFrame, word: str, idioms: DataFrame) -> DataFrame:
     """``(key, n, token, kind)``: the tokens of every text in order, from 1; null and empty texts have none."""
     spark = texts.sparkSession
-    entries = spark.sparkContext.broadcast(_words(dictionary, word))
-    special = spark.sparkContext.broadcast(frozenset(_words(idioms, "word")))
+    words, special = _words(dictionary, word), _words(idioms, "word")
+    # An idiom is one string with its word, not a second copy in every task.
+    held = spark.sparkContext.broadcast((words, [w for w in words if w in special]))
     key_type = dict(texts.dtypes)[key]
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = entries.value
-        longest, reach = max(map(len, words), default=1), reaches(words)
-        for f in frames:
-            rows = [(k, i, t, kind) for k, body in zip(f["key"], f["text"]) if body for i, (t, kind) in enumerate(best_path(body, words, special.value, longest, reach), 1)]
-            yield pd.DataFrame(rows, columns=["key", "n", "token", "kind"])
+        words, special = held.value
+        yield from _cut(frames, words, frozenset(special))
 
     return texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(cut, f"key {key_type}, n int, token string, kind string")
 

@@ -1,6 +1,7 @@
 import random
 import struct
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +185,14 @@ def test_limits_of_a_null_and_a_hot_key(spark):
     got = {r["n"] for r in K.decide(e, K.FixedWindow(2, 1000), ["client"], "at", "n").where("admitted").collect()}
     assert got == {0, 3, 1, 2} and K.decide(e.limit(0), K.FixedWindow(2, 10), ["client"], "at", "n").count() == 0
     assert K.FixedWindow(2, 10).lasts() == 10 and K.TokenBucket(1, 86400).lasts() == 1 and K.Breaker().lasts() is None
+
+
+def test_segmentation_hands_tokens_on_in_bounded_blocks(spark):
+    texts = [(i, "山水火人" * 3_000) for i in range(4)]
+    frames = [pd.DataFrame(texts, columns=["key", "text"])]
+    blocks = list(W._cut(iter(frames), {"山水": 1, "人": 2}, frozenset(["山水"])))
+    assert max(map(len, blocks)) <= W.BLOCK_TOKENS < sum(map(len, blocks)) == 36_000
+    df = spark.createDataFrame([*texts, (4, None), (5, "")], "k long, t string")
+    words = spark.createDataFrame([("山水",), ("人",), ("人",)], "w string")
+    got = W.segmented(df, "k", "t", words, "w", words.where("w = '山水'").select(F.col("w").alias("word"))).toPandas().sort_values(["key", "n"])
+    assert got.values.tolist() == pd.concat(blocks).sort_values(["key", "n"]).values.tolist()
