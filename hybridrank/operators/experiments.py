@@ -35,6 +35,11 @@ RERANKERS: dict[str, dict[str, dict[str, float]]] = {
 }
 
 
+def blends(profiles: dict[str, dict[str, tuple[float, float]]] = PROFILES) -> dict[str, list[tuple[float, float]]]:
+    """The different weights of vectors and of tokens that profiles give a type of query."""
+    return {t: sorted({over.get(t) or BLEND_BY_TYPE.get(t, (0.5, 0.5)) for over in profiles.values()}) for t in QUERY_TYPES}
+
+
 def sweep(parts: DataFrame, profiles: dict[str, dict[str, tuple[float, float]]] = PROFILES, k: int = 5) -> DataFrame:
     """``(profile, query, pos, score, rank)`` under every profile, in one job.
 

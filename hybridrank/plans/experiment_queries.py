@@ -49,7 +49,7 @@ blend AS (SELECT profile, query, pos, round((greatest(0.0, least(1.0, similarity
 @query(f"WITH {_BLENDED} SELECT profile, query, pos, score, row_number() OVER (PARTITION BY profile, query ORDER BY score DESC, pos) AS rank FROM blend QUALIFY rank <= 5")
 def weight_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best entries for every English query of the log under every profile of weights of vectors and tokens."""
-    return N.sweep(P.evidence(embedded(spark, sf_dir), 5))
+    return N.sweep(P.evidence(embedded(spark, sf_dir), 5, N.blends()))
 
 
 @query(f"WITH {_BLENDED} SELECT query, pos, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, pos) AS rank FROM blend WHERE profile = 'current' QUALIFY rank <= 10")
