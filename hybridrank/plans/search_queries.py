@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hybridrank.functions import query as Q
 from hybridrank.functions import vectors as V
@@ -12,11 +11,10 @@ from hybridrank.operators import families as M
 from hybridrank.operators import fusion as G
 from hybridrank.operators import lexical as L
 from hybridrank.operators import vectors as D
-from hybridrank.operators.grams import containing
 from hybridrank.plans import sql as S
 from hybridrank.plans.catalogue import query
 from hybridrank.plans.text_queries import _scored_sql, corpus, known_syllables, log_queries, scored_ctes
-from hybridrank.runtime import table
+from hybridrank.runtime import Scratch, table
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +92,11 @@ def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _channels(spark: SparkSession, sf_dir: str):
-    c, q = corpus(spark, sf_dir), log_queries(spark, sf_dir)
-    semantic = L.token_topk(L.TokenIndex(c), L.asked(q)).withColumn("score", F.least(F.col("score") / 3, F.lit(1.0)))
-    asked = L.asked(q).select("query", F.lower("query").alias("q"))
-    inside = containing(asked, "q", c.select("pos", F.lower("meaning").alias("low")), "pos", "low").join(asked, "q").select("query", "pos", F.lit(0.8).alias("score"))
-    keyword = inside.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("pos"))).where("rank <= 20")
+    scratch = Scratch(spark, "channels")
+    c, q = scratch.keep(corpus(spark, sf_dir), "corpus"), scratch.keep(log_queries(spark, sf_dir), "queries")
+    asked = scratch.keep(L.asked(q), "asked")
+    semantic = L.token_topk(L.TokenIndex(c), asked).withColumn("score", F.least(F.col("score") / 3, F.lit(1.0)))
+    keyword = L.first_containing(c.select("pos", F.lower("meaning").alias("text")), asked.select("query", F.lower("query").alias("low")), 20).withColumn("score", F.lit(0.8))
     types = q.select("query", Q.query_type(F.col("query"), known_syllables(spark, sf_dir)).alias("query_type"))
     return semantic, keyword, L.exact_pinyin(c, q), types
 
