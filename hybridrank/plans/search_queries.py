@@ -139,7 +139,7 @@ SELECT query, pos, round(new, 6) AS score, row_number() OVER (PARTITION BY query
 )
 def minmax_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five results blended with an outside score, here made of the entry itself."""
-    ranked = G.fuse(*_channels(spark, sf_dir))
+    ranked = Scratch(spark, "fused").keep(G.fuse(*_channels(spark, sf_dir)), "ranked")
     raw = ranked.select("query", "pos").join(corpus(spark, sf_dir), "pos").select("query", "pos", (F.length("chengyu").cast("double") + F.col("pos") % 7).alias("raw"))
     return G.minmax_rerank(ranked, raw, 5, 0.3).withColumn("score", F.round("score", 6))
 

@@ -174,3 +174,10 @@ def test_blend_and_rerank(spark):
     assert got[2] == (1, pytest.approx(0.9)) and got[1] == (2, pytest.approx(0.45)) and got[3][0] == 3 and got[3][1] < 0.45
     scores = spark.createDataFrame([([2.0],), ([1.0, 4.0],)], "s array<double>")
     assert [r[0] for r in scores.select(G.logit(F.col("s"))).collect()] == [2.0, 3.0]
+
+
+def test_rankings_that_are_read_twice_are_made_once(spark):
+    import __spark_entry__
+
+    plan = lambda name: __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "CoGroups" not in plan("minmax_rerank")
