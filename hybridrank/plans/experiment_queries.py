@@ -18,7 +18,7 @@ from hybridrank.plans import search as P
 from hybridrank.plans import sql as S
 from hybridrank.plans.catalogue import query
 from hybridrank.plans.text_queries import _SYL, _scored_sql, corpus, known_syllables, log_queries, scored_ctes
-from hybridrank.runtime import numbered, table
+from hybridrank.runtime import Scratch, numbered, table
 from hybridrank.sources import export as X
 from hybridrank.sources import validate as C
 
@@ -98,10 +98,11 @@ SELECT query, pos, score, row_number() OVER (PARTITION BY query ORDER BY score D
 )
 def feature_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best entries by tokens, reranked by word evidence under the light profile."""
-    index = L.TokenIndex(corpus(spark, sf_dir))
-    asked = L.asked(log_queries(spark, sf_dir))
+    scratch = Scratch(spark, "reranked")
+    index = L.TokenIndex(scratch.keep(corpus(spark, sf_dir), "corpus"))
+    asked = scratch.keep(L.asked(log_queries(spark, sf_dir)), "asked")
     texts = index.corpus.select("pos", F.lower("meaning").alias("meaning_text"), F.lower("example").alias("example_text"))
-    return G.feature_rerank(L.token_topk(index, asked), asked, index.feats.join(texts, "pos"), index.idf, int(_LIGHT["top"]), _LIGHT["share"], _LIGHT)
+    return G.feature_rerank(scratch.keep(L.token_topk(index, asked), "ranked"), asked, index.feats.join(texts, "pos"), index.idf, int(_LIGHT["top"]), _LIGHT["share"], _LIGHT)
 
 
 @query(

@@ -176,8 +176,24 @@ def test_blend_and_rerank(spark):
     assert [r[0] for r in scores.select(G.logit(F.col("s"))).collect()] == [2.0, 3.0]
 
 
+def test_feature_rerank_makes_no_row_for_every_word_of_a_pair(spark):
+    from hybridrank.operators import fusion as G
+
+    ranked = spark.createDataFrame([("a b b", 1, 0.9, 1), ("a b b", 2, 0.8, 2), ("a b b", 3, 0.7, 3)], "query string, pos long, score double, rank int")
+    asked = spark.createDataFrame([("a b b", ["a", "b", "b"])], "query string, tokens array<string>")
+    texts = {1: ["c"], 2: ["a", "b", "b", "c"], 3: ["b", "c", "c"]}
+    rows = [(p, c, c, "", "", "") for p, c in texts.items()]
+    feats = spark.createDataFrame(rows, "pos long, concept array<string>, fields array<string>, literal_text string, meaning_text string, example_text string")
+    idf = spark.createDataFrame([("a", 2.0), ("b", 0.5)], "token string, idf double")
+    got = G.feature_rerank(ranked, asked, feats, idf, 3, 0.5, {"jaccard": 1.0})
+    assert "explode(array_distinct(concat(tokens" not in got._jdf.queryExecution().optimizedPlan().toString()
+    # Shared over all weight: 0 of 4; 3 of 4; 0.5 of 2 + 1 + 2.
+    new = {1: 0.45, 2: 0.8 * 0.5 + 0.5, 3: 0.7 * 0.5 + 0.1 / 0.75 * 0.5}
+    assert {r["pos"]: (r["score"], r["rank"]) for r in got.collect()} == {p: (round(s, 9), sorted(new.values(), reverse=True).index(s) + 1) for p, s in new.items()}
+
+
 def test_rankings_that_are_read_twice_are_made_once(spark):
     import __spark_entry__
 
     plan = lambda name: __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
-    assert "CoGroups" not in plan("minmax_rerank")
+    assert "CoGroups" not in plan("minmax_rerank") and "CoGroups" not in plan("feature_rerank")
