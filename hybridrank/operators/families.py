@@ -6,7 +6,10 @@ headwords are listed only for headwords that are asked about.
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,16 +25,46 @@ def clean_links(links: DataFrame) -> DataFrame:
     return out.where("a is not null and b is not null and a <> b and relation in ('same', 'full_form')").distinct()
 
 
+#: Links that one task ties.
+LINKS_PER_TASK = 250_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(a, b)`` of every end but the least of what the links of a task tie, with the least one."""
+    above: dict[str, str] = {}
+
+    def least(x: str) -> str:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above[up]
+        return x
+
+    for batch in batches:
+        for x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b"))):
+            x, y = least(x), least(y)
+            above[max(x, y)] = min(x, y)
+    ends = [(x, least(x)) for x in list(above)]
+    ends = [e for e in ends if e[0] != e[1]]
+    for lo in range(0, len(ends), 10_000):
+        yield pa.RecordBatch.from_pydict({"a": [x for x, _ in ends[lo : lo + 10_000]], "b": [y for _, y in ends[lo : lo + 10_000]]}, pa.schema([("a", pa.string()), ("b", pa.string())]))
+
+
 def clusters(links: DataFrame) -> DataFrame:
     """``(headword, cluster)`` of every linked headword; the cluster is its least member.
 
-    Least labels spread over ``same`` links and along the labels themselves, so
-    that a chain takes a number of rounds in the logarithm of its length.
+    Each task first ties what its own share of the ``same`` links ties; where
+    they are one task's work, that is all.  Else least labels spread over what
+    is left and along the labels themselves, so that a chain takes a number of
+    rounds in the logarithm of its length.
     """
     scratch = Scratch(links.sparkSession, "clusters")
     heads = links.select(F.col("a").alias("headword")).union(links.select("b")).distinct()
     same = links.where("relation = 'same'").select("a", "b")
-    edges = scratch.keep(same.union(same.select("b", "a")).distinct(), "edges")
+    same = scratch.keep(same.distinct(), "same", n=F.count(F.lit(1)))
+    parts = max(1, math.ceil(scratch.facts["n"] / LINKS_PER_TASK))
+    stars = scratch.keep(same.repartition(parts).mapInArrow(_stars, "a string, b string"), "stars")
+    if parts == 1:
+        return scratch.keep(heads.join(stars, heads["headword"] == stars["a"], "left").select("headword", F.coalesce("b", "headword").alias("cluster")), "labels")
+    edges = scratch.keep(stars.union(stars.select("b", "a")).distinct(), "edges")
     labels = scratch.keep(heads.withColumn("cluster", F.col("headword")), "labels-0")
     changed, i = 1, 0
     while changed:
@@ -130,24 +163,22 @@ def collapse(ranked: DataFrame, cluster: DataFrame, tied: DataFrame) -> DataFram
     """
     near = tied.groupBy("cluster").agg(F.sort_array(F.collect_set("other")).alias("near"))
     rows = ranked.join(cluster, "headword", "left").join(near, "cluster", "left")
-    kept_type = rows.schema
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank", kind="stable")
-        kept: dict[str, set[str]] = {}
-        keep = []
-        for head, own, others in zip(pdf["headword"], pdf["cluster"], pdf["near"]):
-            if own is None or own != own:
-                keep.append(True)
-                continue
-            around = [own, *(others if others is not None else [])]
-            drop = any(kept.get(c, set()) - {head} for c in around)
-            keep.append(not drop)
-            if not drop:
-                kept.setdefault(own, set()).add(head)
-        return pdf[keep]
-
-    out = rows.groupBy("query").applyInPandas(walk, kept_type).drop("cluster", "near")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, kept = (), {}
+        for batch in batches:
+            keep = []
+            for query, head, own, others in zip(*(batch.column(c).to_pylist() for c in ("query", "headword", "cluster", "near"))):
+                if query != before:
+                    before, kept = query, {}
+                drop = own is not None and any(kept[c] - {head} for c in (own, *(others or ())) if c in kept)
+                keep.append(not drop)
+                if own is not None and not drop:
+                    kept.setdefault(own, set()).add(head)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    # Lists follow one another in a task, and may go over from one batch to the next: a frame for each would cost more than the walk.
+    out = rows.repartition("query").sortWithinPartitions("query", "rank").mapInArrow(walk, rows.schema).drop("cluster", "near")
     return out.withColumn("collapsed_rank", F.row_number().over(Window.partitionBy("query").orderBy("rank")))
 
 

@@ -220,9 +220,10 @@ SELECT query, pos, headword, rank, row_number() OVER (PARTITION BY query ORDER B
 )
 def collapse_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings of the log's English queries, without rows related to a better one."""
-    links = _links(spark, sf_dir)
+    scratch = Scratch(spark, "collapsed")
+    links = scratch.keep(_links(spark, sf_dir), "links")
     c = M.clusters(links)
-    e = corpus(spark, sf_dir)
+    e = scratch.keep(corpus(spark, sf_dir), "corpus")
     ranked = L.token_topk(L.TokenIndex(e), L.asked(log_queries(spark, sf_dir)), 40).join(e.select("pos", F.trim("chengyu").alias("headword")), "pos")
     return M.collapse(ranked, c, M.cluster_links(links, c)).where("collapsed_rank <= 10").select("query", "pos", "headword", "rank", "collapsed_rank")
 

@@ -197,3 +197,21 @@ def test_rankings_that_are_read_twice_are_made_once(spark):
 
     plan = lambda name: __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "CoGroups" not in plan("minmax_rerank") and "CoGroups" not in plan("feature_rerank")
+
+
+def test_links_are_tied_in_tasks_first_and_lists_walked_without_a_frame_each(spark, monkeypatch):
+    rng = random.Random(15)
+    chain = [f"h{i:03d}" for i in rng.sample(range(90), 90)]
+    pairs = [*zip(chain[:60], chain[1:60]), *zip(chain[60:], chain[61:])]
+    links = spark.createDataFrame([(i, a, b, "same", None) for i, (a, b) in enumerate(pairs)], "link_no long, a string, b string, relation string, common string")
+    want = {h: min(part) for part in (chain[:60], chain[60:]) for h in part}
+    for most in (1_000, 20):
+        monkeypatch.setattr(M, "LINKS_PER_TASK", most)
+        assert {r["headword"]: r["cluster"] for r in M.clusters(links).collect()} == want
+    ranked = spark.createDataFrame([(f"q{q % 7}", r, chain[(q * 31 + r * 17) % 90]) for q in range(7) for r in range(1, 12)], "query string, rank int, headword string")
+    got = M.collapse(ranked, M.clusters(links), spark.createDataFrame([], "cluster string, other string"))
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    firsts = {}
+    for r in sorted(ranked.collect(), key=lambda r: (r["query"], r["rank"])):
+        firsts.setdefault((r["query"], want[r["headword"]]), (r["rank"], r["headword"]))
+    assert {(r["query"], want[r["headword"]]): (r["rank"], r["headword"]) for r in got.collect()} == firsts
