@@ -134,6 +134,48 @@ def test_restore_rows(spark):
     assert B.restore_texts(spark.createDataFrame([("é" * 200_000, None)], "text string, lang string")).first()["repair"]["garbled"] is False
 
 
+def test_few_readings_are_compressed():
+    """Neither sound text with accents nor text that is UTF-8 throughout is compressed in every recoding there is."""
+    pinyin = ["Say zhé zhòng tiè féng sàn slowly, and mind the tone of lóng hǔ.", "Between dài lái and yú there is a tone, as in jiàn qín zài ròu."]
+    greek = ["Ο τόνος της τελευταίας συλλαβής αλλάζει όλη τη σημασία."]
+    met = frozenset(c for half in B.HALVES.values() for c in half if c.isalpha())
+    made = B.Restorer(*B.train({**{lang: [s] * 40 for lang, s in zip(LANGS, SAYINGS)}, "en": pinyin * 300, "el": greek * 30}), met)
+    calls = []
+
+    class Counting:
+        def __init__(self, packer):
+            self.packer = packer
+
+        def compress(self, raw):
+            calls.append(raw)
+            return self.packer.compress(raw)
+
+    made.packers = [(chars, Counting(packer)) for chars, packer in made.packers]
+    for t in pinyin:
+        assert made.restore(t) == (t, "", 0)
+    assert len(set(calls)) < 5
+    calls.clear()
+    assert made.restore(SAYINGS[3].encode().decode("latin-1"))[0] == SAYINGS[3]
+    assert len(set(calls)) < 10
+    # A language that is rare beside the others is read right all the same.
+    assert made.restore(greek[0].encode("cp1253").decode("latin-1"))[0] == greek[0]
+    assert made.restore(greek[0].encode("cp1253").decode("cp1251"))[0] == greek[0]
+
+
+def test_texts_at_once_are_as_one_by_one(restorer):
+    texts = [*SAYINGS, "plain", "", SAYINGS[3].encode().decode("latin-1"), SAYINGS[2].encode("koi8-r").decode("cp1251"), SAYINGS[3].encode().decode("latin-1")]
+    assert restorer.restore_all(texts) == [restorer.restore(t) for t in texts]
+    assert [len(x) for x in B._portions(["ab", None, "c", "", "d"], 3)] == [3, 2] and list(B._portions([])) == []
+
+
+def test_runs_are_decoded_apart():
+    rng = np.random.default_rng(4)
+    for w in [*B.DOUBLE, "utf-8", "cp1251", "koi8-r"]:
+        for _ in range(300):
+            raws = [bytes(rng.choice(np.r_[33:127, 128:256, 128:256], n).astype(np.uint8)) for n in rng.integers(1, 9, 4)]
+            assert B._decoded(raws, w) == [raw.decode(w, errors="replace") for raw in raws]
+
+
 def test_rare_characters_are_restored(spark, restorer):
     rare = "簋匜罍觚，爵斝盉卣"
     for read in ("latin-1", "cp1252", "cp437"):
